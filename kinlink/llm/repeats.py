@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.seqhash import Chunk, bucket_count, chunks, difference_cover, folded, join_blobs, keyed, member, roll, shared_keys, starts
+from kinlink.llm.seqhash import Chunk, bucket_count, chunks, difference_cover, folded, unblob, keyed, member, roll, shared_keys, starts
 
 
 class Cover:
@@ -37,14 +37,14 @@ class Cover:
         return roll(self.seed).window(prefix, at, at + self.short), number, at
 
     def reach(self, chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Round 2: hash and document number of the long windows that hold a repeated name (chunk.extra: the blobs of each document)."""
+        """Round 2: hash and document number of the long windows that hold a repeated name (chunk.extra: the blob of each document)."""
         key, number, at = self.names(chunk)
         key = folded(key, n)
         hit = np.zeros(len(key), bool)
         cut = np.searchsorted(number, np.arange(len(chunk.ids) + 1))
-        for i, blobs in enumerate(chunk.extra):
-            if blobs:
-                hit[cut[i] : cut[i + 1]] = member(key[cut[i] : cut[i + 1]], join_blobs(blobs))
+        for i, keys in enumerate(chunk.extra):
+            if keys:
+                hit[cut[i] : cut[i + 1]] = member(key[cut[i] : cut[i + 1]], unblob(keys))
         prefix, low, high = self.symbols(chunk)
         step = np.zeros(len(prefix) + 1, np.int32)
         np.add.at(step, np.maximum(at[hit] - self.v + 1, low[number[hit]]), 1)
@@ -56,23 +56,19 @@ class Cover:
         return roll(self.seed).window(prefix, place, place + self.width), doc
 
 
-def gathered(flags: DataFrame) -> DataFrame:
-    return flags.where("keys is not null").groupBy("doc_id").agg(F.collect_list("keys").alias("blobs"))
-
-
 def repeated_windows(docs: DataFrame, cover: Cover, *, earlier: bool, cluster: bool) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) and (doc_id, blobs): the hashes of each document's windows that repeat.
+    """(doc_id, text) and (doc_id, n, keys): the hashes of each document's windows that repeat.
 
     cluster: copies are brought together for round 2, so that most repeats are settled before the shuffle;
     the exchange is a rebalance, whose large partitions Spark splits.
     """
     docs, n = keyed(docs), bucket_count(docs)
-    first = gathered(shared_keys(docs, lambda c: cover.names(c)[:2], earlier=False, buckets=n, narrow=True))
-    near = docs.join(first, "doc_id").select("doc_id", "text", "blobs")
+    first = shared_keys(docs, lambda c: cover.names(c)[:2], earlier=False, buckets=n, narrow=True)
+    near = docs.join(first, "doc_id").select("doc_id", "text", "keys")
     if cluster:
-        near = near.withColumn("least", F.array_min(F.transform("blobs", lambda b: F.substring(b, 1, 8)))).hint("rebalance", "least").select("doc_id", "text", "blobs")
+        near = near.withColumn("least", F.substring("keys", 1, 8)).hint("rebalance", "least").select("doc_id", "text", "keys")
 
-    return docs, gathered(shared_keys(near, lambda c: cover.reach(c, n), earlier=earlier, buckets=n))
+    return docs, shared_keys(near, lambda c: cover.reach(c, n), earlier=earlier, buckets=n)
 
 
 def cut_out(docs: DataFrame, windows: DataFrame, cover: Cover, finish: Callable[[Chunk, int, np.ndarray], tuple], schema: str) -> DataFrame:
@@ -90,7 +86,7 @@ def cut_out(docs: DataFrame, windows: DataFrame, cover: Cover, finish: Callable[
                 covered = np.zeros(high[i] - low[i], bool)
                 if c.extra[i]:
                     own = place[cut[i] : cut[i + 1]]
-                    at = own[member(roll(cover.seed).window(prefix, own, own + cover.width), join_blobs(c.extra[i]))] - low[i]
+                    at = own[member(roll(cover.seed).window(prefix, own, own + cover.width), unblob(c.extra[i]))] - low[i]
                     step = np.zeros(len(covered) + 1, np.int32)
                     step[at] += 1
                     step[at + cover.width] -= 1
@@ -98,4 +94,4 @@ def cut_out(docs: DataFrame, windows: DataFrame, cover: Cover, finish: Callable[
                 rows.append((int(doc), *finish(c, i, covered)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
 
-    return docs.join(windows, "doc_id", "left").select("doc_id", "text", "blobs").mapInArrow(run, schema)
+    return docs.join(windows, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(run, schema)

@@ -143,11 +143,11 @@ def _repeated(k, d, head, size, earlier: bool) -> np.ndarray:
 
 
 def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, flush: int = 1 << 21) -> DataFrame:
-    """(doc_id, n, keys): for each document, the hashes of its own that occur elsewhere too.
+    """(doc_id, n, keys): for each document, the sorted hashes of its own that occur elsewhere too, as one blob.
 
     extract gives (hash, document number in the chunk). earlier: only hashes that a document with a
-    smaller id has; else: hashes with two entries anywhere. Several rows come per document; n is set on
-    one of them, from sizes(chunk), if that is given.
+    smaller id has; else: hashes with two entries anywhere. Documents without any are left out, unless
+    sizes(chunk) is given: then each document has a row, and n is its size.
 
     What repeats within a chunk is settled there, and one entry per hash leaves it: a hash that a third
     of all documents share sends as many entries as there are chunks, so no bucket grows with a hot
@@ -190,33 +190,54 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
         if count:
             yield out(route(*map(np.concatenate, zip(*held, strict=True))))
 
-    def rows(ids, sizes_, blobs):
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes_, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "keys"])
+    def blobs(rows):
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "docs", "counts", "keys"])
+
+    def by_document(k, d):
+        """Blobs again, dealt out by document."""
+        to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((k, d, to))
+        k, d, to = k[order], d[order], to[order]
+        at = np.searchsorted(to, np.arange(n + 1))
+        return [_pack(int(b), d[at[b] : at[b + 1]], k[at[b] : at[b + 1]]) for b in np.unique(to)]
 
     def settle(key, table):
         bucket = key[0].as_py()
-        d = [np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()]
-        c = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+        d = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+        c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
         if bucket < -n:
-            return rows(np.concatenate(d), np.concatenate(c).astype(np.int64), [None] * sum(map(len, d)))
+            to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+            return blobs([(int(b), d[to == b].tobytes(), c[to == b].tobytes(), None) for b in np.unique(to)])
         small = narrow and bucket >= 0
         k = np.concatenate([np.frombuffer(x, np.uint32 if small else np.uint64) for x in table.column("keys").to_pylist()])
         if small:
             k = k.astype(np.uint64) * np.uint64(n) + np.uint64(bucket)
-        d = np.repeat(np.concatenate(d), np.concatenate(c))
+        d = np.repeat(d, c)
         if bucket >= 0:
             k, d, head, size = _runs(k, d)
             again = _repeated(k, d, head, size, earlier)
             k, d = k[again], d[again]
-            order = np.argsort(d, kind="stable")
+        return blobs(by_document(k, d))
+
+    def unpack(key, table):
+        sized = np.array([x is None for x in table.column("keys").to_pylist()], bool)
+        parts = [(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32), r["keys"]) for r in table.select(["docs", "counts", "keys"]).to_pylist()]
+        total = {int(i): int(x) for (d, c, k) in parts if k is None for i, x in zip(d, c, strict=True)}
+        found: dict[int, bytes] = {}
+        if not sized.all():
+            d = np.concatenate([np.repeat(d, c) for d, c, k in parts if k is not None])
+            k = np.concatenate([np.frombuffer(k, np.uint64) for _, _, k in parts if k is not None])
+            order = np.lexsort((k, d))
             k, d = k[order], d[order]
-        if not len(d):
-            return rows([], [], [])
-        cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        return rows(d[cut], [None] * len(cut), [x.tobytes() for x in np.split(k, cut[1:])])
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+            k, d = k[new], d[new]
+            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            found = {int(i): x.tobytes() for i, x in zip(d[cut], np.split(k, cut[1:]), strict=True)}
+        ids = sorted(total.keys() | found.keys())
+        return pa.table([pa.array(ids, pa.int64()), pa.array([total.get(i) for i in ids], pa.int64()), pa.array([found.get(i) for i in ids], pa.binary())], names=["doc_id", "n", "keys"])
 
-    sent = docs.mapInArrow(send, BLOB)
-    return sent.groupBy("bucket").applyInArrow(settle, "doc_id long, n long, keys binary")
+    settled = docs.mapInArrow(send, BLOB).groupBy("bucket").applyInArrow(settle, BLOB)
+    return settled.groupBy("bucket").applyInArrow(unpack, "doc_id long, n long, keys binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -228,9 +249,8 @@ def unkeyed() -> F.Column:
     return F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
 
 
-def join_blobs(blobs: list[bytes] | None) -> np.ndarray:
-    """Sorted distinct hashes of the collected rows of one document."""
-    return np.unique(np.frombuffer(b"".join(x for x in blobs or [] if x), np.uint64))
+def unblob(keys: bytes | None) -> np.ndarray:
+    return np.frombuffer(keys or b"", np.uint64)
 
 
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
