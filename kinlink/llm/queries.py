@@ -1,24 +1,73 @@
-"""The registered queries of this subpackage, opN_<name>, and their SQL where SQL can express them."""
-
-from __future__ import annotations
+"""The registered queries of this subpackage, opN_<name>. SQL can express none of them whole (tokenizers, trained models,
+exact repeats of long windows over whole texts); tests/llm holds each against brute force or held-out accuracy."""
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinlink.llm.decontam import leaks
+from kinlink.llm.lm import lm_scores
+from kinlink.llm.media import fingerprints, recordings, rendered
+from kinlink.llm.ngram_join import ngram_components
+from kinlink.llm.packing import packed
+from kinlink.llm.pii import pii
+from kinlink.llm.quality import quality
 from kinlink.llm.substring import substring_dedup
 from kinlink.llm.suffix_dedup import suffix_dedup
+from kinlink.llm.toxicity import toxicity
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_packing(spark, sf_dir):
+    return packed(_docs(spark, sf_dir), tokenizer_path())
+
+
+def op2_ngram_join(spark, sf_dir):
+    return ngram_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_pii(spark, sf_dir):
+    return pii(_docs(spark, sf_dir))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup(_docs(spark, sf_dir))
 
 
+def op6_quality(spark, sf_dir):
+    return quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op7_lm(spark, sf_dir):
+    return lm_scores(_docs(spark, sf_dir))
+
+
+def op8_decontam(spark, sf_dir):
+    return leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_media(spark, sf_dir):
+    return recordings(fingerprints(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_pii, op4_toxicity, op5_suffix_dedup, op6_quality, op7_lm, op8_decontam, op9_media, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
