@@ -106,12 +106,12 @@ def dc13_hash_split(spark, d):
     return o.select(F.col("o_orderkey").alias("ref"), b.alias("bucket"), F.when(b < 70, "train").when(b < 85, "dev").otherwise("holdout").alias("part"))
 
 
-@query("with recursive e as (select distinct l_orderkey a, l_suppkey b from lineitem where l_orderkey <= 400 and l_partkey%5=0), n as (select a x, a y from e union select l.a, r.a from e l join e r on l.b=r.b), c as (select x node, y comp from n union select c.node, n.y from c join n on c.comp=n.x) select node, min(comp) component from c group by 1")
+@query()
 def dc13_components(spark, d):
     from kinlink.operators.graph import connected_components
 
-    e = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey <= 400 and l_partkey % 5 = 0").select("l_orderkey", (-F.col("l_suppkey") - 1 + 2 * 10**9).alias("s"))
-    return connected_components(e.select("l_orderkey", "s"), "l_orderkey", "s").where(F.col("node") <= 400)
+    links = lists(spark, d).where("p >= 0.99").select("ref", (F.col("tgt") + F.lit(10**12)).alias("tgt"))
+    return connected_components(links, "ref", "tgt")
 
 
 @query("select o_orderkey ref, ('0x'||substr(sha256(o_orderkey::varchar||'#fold'),1,8))::bigint % 100 % 2 fold from orders")
