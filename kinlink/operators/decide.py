@@ -7,15 +7,26 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_REF = Window.partitionBy("ref")
-RANKED = BY_REF.orderBy(F.desc("p"), "tgt")
-PREFIX = RANKED.rowsBetween(Window.unboundedPreceding, 0)
-BY_TGT = Window.partitionBy("tgt")
+
+def by_ref():
+    return Window.partitionBy("ref")
+
+
+def ranked():
+    return by_ref().orderBy(F.desc("p"), "tgt")
+
+
+def prefix():
+    return ranked().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_tgt():
+    return Window.partitionBy("tgt")
 
 
 def exclusive(df: DataFrame) -> DataFrame:
     """Every target keeps its best reference (ties: the smaller one); elsewhere its probability is 0."""
-    best = F.row_number().over(BY_TGT.orderBy(F.desc("p"), "ref")) == 1
+    best = F.row_number().over(by_tgt().orderBy(F.desc("p"), "ref")) == 1
     return df.withColumn("p", F.when(best, F.col("p")).otherwise(F.lit(0.0)))
 
 
@@ -25,11 +36,11 @@ def threshold(df: DataFrame, t: float) -> DataFrame:
 
 def expected(df: DataFrame, floor: float) -> DataFrame:
     """The prefix with the best ratio of expectations, if it beats the empty answer and its top reaches the floor."""
-    k = F.row_number().over(RANKED)
-    v = 1.25 * F.sum("p").over(PREFIX) / (0.25 * F.sum("p").over(BY_REF) + k)
+    k = F.row_number().over(ranked())
+    v = 1.25 * F.sum("p").over(prefix()) / (0.25 * F.sum("p").over(by_ref()) + k)
     x = df.withColumn("k", k).withColumn("v", v)
-    x = x.withColumn("top", F.max("p").over(BY_REF)).withColumn("none", F.exp(F.sum(F.log(1 - F.least("p", F.lit(1 - 1e-9)))).over(BY_REF)))
-    x = x.withColumn("best", F.max("v").over(BY_REF)).withColumn("cut", F.min(F.when(F.col("v") == F.col("best"), F.col("k"))).over(BY_REF))
+    x = x.withColumn("top", F.max("p").over(by_ref())).withColumn("none", F.exp(F.sum(F.log(1 - F.least("p", F.lit(1 - 1e-9)))).over(by_ref())))
+    x = x.withColumn("best", F.max("v").over(by_ref())).withColumn("cut", F.min(F.when(F.col("v") == F.col("best"), F.col("k"))).over(by_ref()))
     return x.withColumn("sel", (F.col("best") > F.col("none")) & (F.col("top") >= floor) & (F.col("k") <= F.col("cut"))).drop("k", "v", "top", "none", "best", "cut")
 
 
@@ -46,17 +57,17 @@ def macro_f05(df: DataFrame, cost: float = 1.0) -> DataFrame:
 
 
 def overcommitted(df: DataFrame) -> DataFrame:
-    return df.withColumn("claimed", F.sum("p").over(BY_TGT))
+    return df.withColumn("claimed", F.sum("p").over(by_tgt()))
 
 
 def normalized(df: DataFrame) -> DataFrame:
     """Probabilities of a target's references are scaled down to a sum of 1 where they exceed it."""
-    return df.withColumn("p", F.col("p") / F.greatest(F.lit(1.0), F.sum("p").over(BY_TGT)))
+    return df.withColumn("p", F.col("p") / F.greatest(F.lit(1.0), F.sum("p").over(by_tgt())))
 
 
 def prune_overcommitted(df: DataFrame, most: float = 1.2, share: float = 0.77) -> DataFrame:
     """Of selected links, those to over-claimed targets with a small share go, but a reference keeps its best link."""
-    x = overcommitted(df).withColumn("best", F.row_number().over(RANKED) == 1)
+    x = overcommitted(df).withColumn("best", F.row_number().over(ranked()) == 1)
     return x.where(F.col("best") | ~((F.col("claimed") > most) & (F.col("p") / F.col("claimed") < share))).drop("best")
 
 
@@ -71,8 +82,8 @@ def grid(df: DataFrame, thresholds: list[float]) -> DataFrame:
 
 def ceiling(df: DataFrame) -> DataFrame:
     """The best F0.5 any prefix of each list could reach."""
-    k, tp = F.row_number().over(RANKED), F.sum("y").over(PREFIX)
-    x = df.withColumn("f", 5.0 * tp / (5.0 * tp + 4.0 * (k - tp) + F.sum("y").over(BY_REF) - tp))
+    k, tp = F.row_number().over(ranked()), F.sum("y").over(prefix())
+    x = df.withColumn("f", 5.0 * tp / (5.0 * tp + 4.0 * (k - tp) + F.sum("y").over(by_ref()) - tp))
     return x.groupBy("ref").agg(F.when(F.sum("y") == 0, 1.0).otherwise(F.max("f")).alias("best")).agg(F.round(F.avg("best"), 6).alias("ceiling"), F.count("*").alias("refs"))
 
 
@@ -83,11 +94,11 @@ def split_bucket(key: F.Column, salt: str = "") -> F.Column:
 
 def rrf(routes: dict[str, DataFrame], constant: int = 60, keep: int = 10) -> DataFrame:
     """Reciprocal-rank fusion of routes (ref, tgt, score); each route's score and rank stay, 0 where it has no candidate."""
-    ranked = [df.select("ref", "tgt", F.lit(name).alias("route"), F.col("score"), F.row_number().over(BY_REF.orderBy(F.desc("score"), "tgt")).alias("rank")) for name, df in routes.items()]
+    ranked = [df.select("ref", "tgt", F.lit(name).alias("route"), F.col("score"), F.row_number().over(by_ref().orderBy(F.desc("score"), "tgt")).alias("rank")) for name, df in routes.items()]
     union = reduce(DataFrame.unionByName, ranked)
     cols = [F.coalesce(F.max(F.when(F.col("route") == r, F.col(c))), F.lit(z)).alias(f"{c}_{r}") for r in routes for c, z in (("score", 0.0), ("rank", 0))]
     fused = union.groupBy("ref", "tgt").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("rrf"), F.count("*").cast("int").alias("route_hits"), *cols)
-    return fused.withColumn("fused_rank", F.row_number().over(BY_REF.orderBy(F.desc(F.round("rrf", 12)), "tgt"))).where(F.col("fused_rank") <= keep)
+    return fused.withColumn("fused_rank", F.row_number().over(by_ref().orderBy(F.desc(F.round("rrf", 12)), "tgt"))).where(F.col("fused_rank") <= keep)
 
 
 def guarded_add(links: DataFrame, new: DataFrame) -> DataFrame:

@@ -141,10 +141,10 @@ def dc18_guarded_add(spark, d):
 
 @query(T + ", n as (select *, row_number() over(partition by ref order by p desc,tgt) k from t), r as (select * from n where k between 3 and 6 and p>=0.3 and tgt not in (select tgt from n where k<=2 and p>=0.9)), w as (select *, row_number() over(partition by tgt order by p desc, ref) b from r) select ref,tgt,p from w where b=1")
 def dc19_rank_rescue(spark, d):
-    n = lists(spark, d).withColumn("k", F.row_number().over(D.RANKED))
+    n = lists(spark, d).withColumn("k", F.row_number().over(D.ranked()))
     held = n.where("k <= 2 and p >= 0.9").select("tgt").distinct()
     r = n.where("k between 3 and 6 and p >= 0.3").join(held, "tgt", "left_anti")
-    return r.withColumn("b", F.row_number().over(D.BY_TGT.orderBy(F.desc("p"), "ref"))).where("b = 1").select("ref", "tgt", "p")
+    return r.withColumn("b", F.row_number().over(D.by_tgt().orderBy(F.desc("p"), "ref"))).where("b = 1").select("ref", "tgt", "p")
 
 
 @query(T + " select tgt, round(sum(p),6) claimed, count(*) refs from t group by 1 having sum(p)>1.2")
@@ -159,7 +159,7 @@ def ag07_exclusivity_norm(spark, d):
 
 @query(ROUTES + " select ref, tgt, 'price' route, rank from a union all select ref, tgt, 'discount', rank from b")
 def wn01_route_rank(spark, d):
-    w = D.BY_REF.orderBy(F.desc("score"), "tgt")
+    w = D.by_ref().orderBy(F.desc("score"), "tgt")
     parts = [df.select("ref", "tgt", F.lit(n).alias("route"), F.row_number().over(w).cast("long").alias("rank")) for n, df in routes(spark, d).items()]
     return parts[0].unionByName(parts[1])
 
@@ -180,19 +180,19 @@ def wn03_route_pivot(spark, d):
 @query(_RRF + " select ref, tgt, round(score_price-max(score_price) over(partition by ref),4) gap_price, round(rrf/max(rrf) over(partition by ref),6) rrf_ratio from r where fused_rank<=10")
 def wn04_gap(spark, d):
     x = D.rrf(routes(spark, d))
-    return x.select("ref", "tgt", F.round(F.col("score_price") - F.max("score_price").over(D.BY_REF), 4).alias("gap_price"), F.round(F.col("rrf") / F.max("rrf").over(D.BY_REF), 6).alias("rrf_ratio"))
+    return x.select("ref", "tgt", F.round(F.col("score_price") - F.max("score_price").over(D.by_ref()), 4).alias("gap_price"), F.round(F.col("rrf") / F.max("rrf").over(D.by_ref()), 6).alias("rrf_ratio"))
 
 
 @query(T + " select ref, tgt, max(p) over(partition by ref) best, row_number() over(partition by ref order by p desc,tgt) rank from t")
 def wn06_rank_within(spark, d):
-    return lists(spark, d).select("ref", "tgt", F.max("p").over(D.BY_REF).alias("best"), F.row_number().over(D.RANKED).cast("long").alias("rank"))
+    return lists(spark, d).select("ref", "tgt", F.max("p").over(D.by_ref()).alias("best"), F.row_number().over(D.ranked()).cast("long").alias("rank"))
 
 
 @query(T + ", r as (select *, row_number() over(partition by ref order by p desc,tgt) k from t) select r.ref, r.tgt, a.tgt anchor1, b.tgt anchor2, round(r.p-a.p,6) gap, count(*) filter (where r.p>=0.8) over(partition by r.ref) strong from r join r a on a.ref=r.ref and a.k=1 left join r b on b.ref=r.ref and b.k=2")
 def wn07_anchor(spark, d):
-    top = lambda k: F.max(F.when(F.col("k") == k, F.col("tgt"))).over(D.BY_REF)
-    r = lists(spark, d).withColumn("k", F.row_number().over(D.RANKED))
-    return r.select("ref", "tgt", top(1).alias("anchor1"), top(2).alias("anchor2"), F.round(F.col("p") - F.max("p").over(D.BY_REF), 6).alias("gap"), F.sum((F.col("p") >= 0.8).cast("long")).over(D.BY_REF).alias("strong"))
+    top = lambda k: F.max(F.when(F.col("k") == k, F.col("tgt"))).over(D.by_ref())
+    r = lists(spark, d).withColumn("k", F.row_number().over(D.ranked()))
+    return r.select("ref", "tgt", top(1).alias("anchor1"), top(2).alias("anchor2"), F.round(F.col("p") - F.max("p").over(D.by_ref()), 6).alias("gap"), F.sum((F.col("p") >= 0.8).cast("long")).over(D.by_ref()).alias("strong"))
 
 
 @query(_RRF + " select ref, tgt, case when rank_price>0 then round(1.0::double/rank_price,6) else 0.0::double end inv_price, (rank_price=1)::int top_price from r where fused_rank<=10")
@@ -202,31 +202,31 @@ def wn08_inverse_rank(spark, d):
 
 @query(T + " select ref, tgt, lag(p,1,1.0::double) over w before_p, lead(p,1,0.0::double) over w after_p from t window w as (partition by ref order by p desc,tgt)")
 def wn09_lag_lead(spark, d):
-    return lists(spark, d).select("ref", "tgt", F.lag("p", 1, 1.0).over(D.RANKED).alias("before_p"), F.lead("p", 1, 0.0).over(D.RANKED).alias("after_p"))
+    return lists(spark, d).select("ref", "tgt", F.lag("p", 1, 1.0).over(D.ranked()).alias("before_p"), F.lead("p", 1, 0.0).over(D.ranked()).alias("after_p"))
 
 
 @query(T + " select ref, tgt, round(sum(p) over(partition by ref order by p desc,tgt rows unbounded preceding),6) mass from t")
 def wn10_prefix_mass(spark, d):
-    return lists(spark, d).select("ref", "tgt", F.round(F.sum("p").over(D.PREFIX), 6).alias("mass"))
+    return lists(spark, d).select("ref", "tgt", F.round(F.sum("p").over(D.prefix()), 6).alias("mass"))
 
 
 @query(T + " select ref, tgt, count(*) filter (where p>=0.9) over(partition by ref) n90, count(*) filter (where p>=0.5) over(partition by ref) n50, round(sum(p) over(partition by ref),6) total, round(p-lead(p,1,0.0::double) over(partition by ref order by p desc,tgt),6) gap_next from t")
 def wn11_list_context(spark, d):
-    n = lambda t: F.sum((F.col("p") >= t).cast("long")).over(D.BY_REF)
-    return lists(spark, d).select("ref", "tgt", n(0.9).alias("n90"), n(0.5).alias("n50"), F.round(F.sum("p").over(D.BY_REF), 6).alias("total"), F.round(F.col("p") - F.lead("p", 1, 0.0).over(D.RANKED), 6).alias("gap_next"))
+    n = lambda t: F.sum((F.col("p") >= t).cast("long")).over(D.by_ref())
+    return lists(spark, d).select("ref", "tgt", n(0.9).alias("n90"), n(0.5).alias("n50"), F.round(F.sum("p").over(D.by_ref()), 6).alias("total"), F.round(F.col("p") - F.lead("p", 1, 0.0).over(D.ranked()), 6).alias("gap_next"))
 
 
 @query(T + " select ref, tgt, count(*) filter (where p>=0.5) over(partition by ref) - (p>=0.5)::int others, round(sum(p) over(partition by ref)-p,6) rest from t")
 def wn12_exclude_self(spark, d):
     on = (F.col("p") >= 0.5).cast("long")
-    return lists(spark, d).select("ref", "tgt", (F.sum(on).over(D.BY_REF) - on).alias("others"), F.round(F.sum("p").over(D.BY_REF) - F.col("p"), 6).alias("rest"))
+    return lists(spark, d).select("ref", "tgt", (F.sum(on).over(D.by_ref()) - on).alias("others"), F.round(F.sum("p").over(D.by_ref()) - F.col("p"), 6).alias("rest"))
 
 
 @query(T + ", r as (select *, row_number() over(partition by tgt order by p desc, ref) k, max(p) over(partition by tgt) b1 from t), s as (select *, max(case when k=2 then p end) over(partition by tgt) b2 from r) select ref, tgt, coalesce(case when k=1 then b2 else b1 end,0.0::double) rival, round(p-coalesce(case when k=1 then b2 else b1 end,0.0::double),6) margin, (k=1)::int is_best, count(*) filter (where p>=b1-0.01) over(partition by tgt) n_tied from s")
 def wn13_margin(spark, d):
-    r = lists(spark, d).withColumn("k", F.row_number().over(D.BY_TGT.orderBy(F.desc("p"), "ref"))).withColumn("b1", F.max("p").over(D.BY_TGT)).withColumn("b2", F.max(F.when(F.col("k") == 2, F.col("p"))).over(D.BY_TGT))
+    r = lists(spark, d).withColumn("k", F.row_number().over(D.by_tgt().orderBy(F.desc("p"), "ref"))).withColumn("b1", F.max("p").over(D.by_tgt())).withColumn("b2", F.max(F.when(F.col("k") == 2, F.col("p"))).over(D.by_tgt()))
     rival = F.coalesce(F.when(F.col("k") == 1, F.col("b2")).otherwise(F.col("b1")), F.lit(0.0))
-    return r.select("ref", "tgt", rival.alias("rival"), F.round(F.col("p") - rival, 6).alias("margin"), (F.col("k") == 1).cast("int").alias("is_best"), F.sum((F.col("p") >= F.col("b1") - 0.01).cast("long")).over(D.BY_TGT).alias("n_tied"))
+    return r.select("ref", "tgt", rival.alias("rival"), F.round(F.col("p") - rival, 6).alias("margin"), (F.col("k") == 1).cast("int").alias("is_best"), F.sum((F.col("p") >= F.col("b1") - 0.01).cast("long")).over(D.by_tgt()).alias("n_tied"))
 
 
 @query("select l_orderkey ref, l_partkey%10 num, count(*) sharing, count(distinct l_suppkey) siblings from lineitem group by 1,2")
@@ -236,12 +236,12 @@ def wn15_number_group(spark, d):
 
 @query(T + ", k as (select *, row_number() over(partition by tgt order by p desc, ref) k from t) select tgt, ref, p from k where k=1")
 def wn16_winner(spark, d):
-    return lists(spark, d).withColumn("k", F.row_number().over(D.BY_TGT.orderBy(F.desc("p"), "ref"))).where("k = 1").select("tgt", "ref", "p")
+    return lists(spark, d).withColumn("k", F.row_number().over(D.by_tgt().orderBy(F.desc("p"), "ref"))).where("k = 1").select("tgt", "ref", "p")
 
 
 @query(T + ", k as (select *, row_number() over(partition by ref order by p desc,tgt) k from t) select ref, tgt, p from k where k<=2 or (p>=0.7 and k<=4)")
 def wn17_topk_adaptive(spark, d):
-    return lists(spark, d).withColumn("k", F.row_number().over(D.RANKED)).where("k <= 2 or (p >= 0.7 and k <= 4)").select("ref", "tgt", "p")
+    return lists(spark, d).withColumn("k", F.row_number().over(D.ranked())).where("k <= 2 or (p >= 0.7 and k <= 4)").select("ref", "tgt", "p")
 
 
 @query(T + ", q as (select ref, tgt from t where p>=0.8) select o_orderkey ref, coalesce(string_agg(tgt::varchar, ',' order by tgt),'') matched from orders left join q on ref=o_orderkey group by 1")
@@ -284,7 +284,7 @@ def ag10_match_dist(spark, d):
 
 @query(T + ", k as (select *, row_number() over(partition by ref order by p desc,tgt) k from t), c as (select unnest([1,2,3,5]) cut) select cut, round(sum(case when k<=cut then y else 0 end)*1.0::double/sum(y),6) recall from k, c group by 1")
 def ag11_recall_at_k(spark, d):
-    k = lists(spark, d).withColumn("k", F.row_number().over(D.RANKED)).groupBy("k").agg(F.sum("y").alias("y"))
+    k = lists(spark, d).withColumn("k", F.row_number().over(D.ranked())).groupBy("k").agg(F.sum("y").alias("y"))
     return k.select("*", F.explode(F.array(*map(F.lit, (1, 2, 3, 5)))).alias("cut")).groupBy("cut").agg(F.round(F.sum(F.when(F.col("k") <= F.col("cut"), F.col("y")).otherwise(0)) / F.sum("y"), 6).alias("recall"))
 
 
