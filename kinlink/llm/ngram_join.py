@@ -113,19 +113,67 @@ class Trie:
         return found
 
 
-def links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span each component of the similarity graph; what is reached leaves the tree."""
-    tree, out = Trie(sets, sizes), []
+def prefix_length(n: int, held: int, percent: int) -> int:
+    """How many of a set's `held` repeated hashes, taken in the global order behind its n - held unshared ones, a partner must meet one of."""
+    return max(0, n + (-percent * n // 100) + 1 - (n - held))
+
+
+def links(sets: list[np.ndarray], sizes: np.ndarray, percent: int, few: int = 64) -> list[tuple[int, int]]:
+    """Links that span each component of the similarity graph; what is reached leaves the tree.
+
+    Within the cell hashes are ordered again, the rarest first. Sets that share a prefix hash with x are its candidates:
+    up to `few` are compared one by one, more are searched in the tree, which they share.
+    """
+    flat = np.concatenate(sets)
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.uint64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.uint64)
+    sets = [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(x) for x in sets])[:-1])]
+    heads = [x[: prefix_length(int(n), len(x), percent)] for x, n in zip(sets, sizes, strict=True)]
+    token, owner = np.concatenate(heads), np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    alive, out, tree = np.ones(len(sets), bool), [], None
+
+    def partners(x: int) -> list[int]:
+        nonlocal tree
+        low, high = np.searchsorted(token, heads[x]), np.searchsorted(token, heads[x], "right")
+        near = [owner[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True) if j - i > 1]
+        if not near:
+            return []
+        near = np.concatenate(near)
+        near = np.unique(near[alive[near]])
+        n = int(sizes[x])
+        near = near[(100 * sizes[near] >= percent * n) & (100 * n >= percent * sizes[near])]
+        if len(near) > few:
+            if tree is None:
+                tree = Trie(sets, sizes)
+                for i in np.flatnonzero(~alive).tolist():
+                    tree.remove(i)
+            return tree.linked(sets[x], n, percent)
+        found = []
+        for y in near.tolist():
+            short, long = (sets[x], sets[y]) if len(sets[x]) < len(sets[y]) else (sets[y], sets[x])
+            had = int(np.count_nonzero(long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short))
+            if (100 + percent) * had >= percent * (n + int(sizes[y])):
+                found.append(y)
+        return found
+
+    def reach(i: int) -> None:
+        alive[i] = False
+        if tree is not None:
+            tree.remove(i)
+
     for seed in range(len(sets)):
-        if seed not in tree.home or seed not in tree.ends[tree.home[seed]]:
+        if not alive[seed]:
             continue
-        tree.remove(seed)
+        reach(seed)
         queue = [seed]
         while queue:
             x = queue.pop()
-            for y in tree.linked(sets[x], int(sizes[x]), percent):
+            for y in partners(x):
                 out.append((x, y))
-                tree.remove(y)
+                reach(y)
                 queue.append(y)
     return out
 
@@ -178,10 +226,9 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, shingle
             ids, heads = [], []
             for doc, n, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 k = unblob(keys)
-                # n - ceil(percent * n / 100) + 1 places in the whole order, of which n - len(k) are taken by unshared ones
-                p = n + (-percent * n // 100) + 1 - (n - len(k))
-                ids.append(np.full(max(0, p), doc, np.int64))
-                heads.append(k[: max(0, p)].view(np.int64))
+                head = k[: prefix_length(n, len(k), percent)]
+                ids.append(np.full(len(head), doc, np.int64))
+                heads.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, heads)], ["doc_id", "token"])
 
     heads = reps.mapInArrow(prefixes, "doc_id long, token long")
