@@ -20,7 +20,7 @@ class WordIds(dict):
     its pieces in turn; letters with closing marks go to the vocabulary's merges directly, all else to the whole
     tokenizer. Both caches are emptied when full, so memory does not follow the vocabulary of the corpus."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tk, self.limit, self.letters = Tokenizer.from_file(path), limit, {}
