@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from kinlink.llm.seqhash import Chunk, bucket_count, chunks, difference_cover, folded, unblob, keyed, member, roll, shared_keys, starts
 
 
+#: A run of windows has so many on average.
+RUN = 128
+
+
 class Cover:
     """How a chunk is read: symbols(chunk) gives the prefix hash, and where each document begins and ends in it."""
 
@@ -36,39 +40,79 @@ class Cover:
         at, number = at[keep], number[keep]
         return roll(self.seed).window(prefix, at, at + self.short), number, at
 
+    def segments(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Long windows in runs that end where the content says so: even hash and document number of each run, which is that
+        of all it covers; then place, document and run of each window."""
+        prefix, low, high = self.symbols(chunk)
+        place, doc = starts(low, high, self.width)
+        r = roll(self.seed)
+        head = r.window(prefix, place, place + min(32, self.width)) % np.uint64(RUN) == 0
+        if len(head):
+            head[np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))] = True
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(place))[: len(first)] - 1
+        return r.window(prefix, place[first], place[last] + self.width) & ~np.uint64(1), doc[first], place, doc, np.cumsum(head) - 1
+
+    def settled(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place and document of each long window; whether its run repeats, and whether a smaller document has that run."""
+        key, of, place, doc, run = self.segments(chunk)
+        again, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        cut = np.searchsorted(of, np.arange(len(chunk.ids) + 1))
+        for i, x in enumerate(chunk.extra):
+            if x["runs"]:
+                own, found = key[cut[i] : cut[i + 1]], unblob(x["runs"])
+                later[cut[i] : cut[i + 1]] = member(own | np.uint64(1), found)
+                again[cut[i] : cut[i + 1]] = later[cut[i] : cut[i + 1]] | member(own, found)
+        return place, doc, again[run], later[run]
+
     def reach(self, chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Round 2: hash and document number of the long windows that hold a repeated name (chunk.extra: the blob of each document)."""
+        """Round 2: hash and document number of the long windows that hold a repeated name (chunk.extra: the blobs of each
+        document), but for those in runs that a smaller document sends."""
         key, number, at = self.names(chunk)
         key = folded(key, n)
         hit = np.zeros(len(key), bool)
         cut = np.searchsorted(number, np.arange(len(chunk.ids) + 1))
-        for i, keys in enumerate(chunk.extra):
-            if keys:
-                hit[cut[i] : cut[i + 1]] = member(key[cut[i] : cut[i + 1]], unblob(keys))
+        for i, x in enumerate(chunk.extra):
+            if x["keys"]:
+                hit[cut[i] : cut[i + 1]] = member(key[cut[i] : cut[i + 1]], unblob(x["keys"]))
         prefix, low, high = self.symbols(chunk)
         step = np.zeros(len(prefix) + 1, np.int32)
         np.add.at(step, np.maximum(at[hit] - self.v + 1, low[number[hit]]), 1)
         step[at[hit] + 1] -= 1
         near = np.cumsum(step) > 0
-        place, doc = starts(low, high, self.width)
-        ok = near[place]
+        if any(x["runs"] for x in chunk.extra):
+            place, doc, _, later = self.settled(chunk)
+            ok = near[place] & ~later
+        else:
+            place, doc = starts(low, high, self.width)
+            ok = near[place]
         place, doc = place[ok], doc[ok]
         return roll(self.seed).window(prefix, place, place + self.width), doc
 
 
 def repeated_windows(docs: DataFrame, cover: Cover, *, earlier: bool, cluster: bool) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) and (doc_id, n, keys): the hashes of each document's windows that repeat.
+    """(doc_id, text) and (doc_id, found): the hashes of each document's windows that repeat (found.keys), and of runs of
+    windows that repeat as wholes (found.runs; for any repeat only, not for earlier ones).
 
-    cluster: copies are brought together for round 2, so that most repeats are settled before the shuffle;
-    the exchange is a rebalance, whose large partitions Spark splits.
+    A run that repeats needs no answer for its windows, and only the smallest document that has it sends them, to be met
+    by windows of other runs. cluster: copies are brought together for round 2, so that most repeats are settled before
+    the shuffle; the exchange is a rebalance, whose large partitions Spark splits.
     """
     docs, n = keyed(docs), bucket_count(docs)
-    first = shared_keys(docs, lambda c: cover.names(c)[:2], earlier=False, buckets=n, narrow=True)
-    near = docs.join(first, "doc_id").select("doc_id", "text", "keys")
+    first = shared_keys(docs, lambda c: cover.names(c)[:2], earlier=False, buckets=n, narrow=True).select("doc_id", "keys")
+    near = docs.join(first, "doc_id")
+    runs = None
+    if earlier:
+        near = near.withColumn("runs", F.lit(None).cast("binary"))
+    else:
+        runs = shared_keys(docs, lambda c: cover.segments(c)[:2], earlier=False, buckets=n, ranked=True).select("doc_id", F.col("keys").alias("runs"))
+        near = near.join(runs, "doc_id", "left")
     if cluster:
-        near = near.withColumn("least", F.substring("keys", 1, 8)).hint("rebalance", "least").select("doc_id", "text", "keys")
-
-    return docs, shared_keys(near, lambda c: cover.reach(c, n), earlier=earlier, buckets=n)
+        near = near.withColumn("least", F.substring("keys", 1, 8)).hint("rebalance", "least")
+    near = near.select("doc_id", "text", F.struct("keys", "runs").alias("found"))
+    windows = shared_keys(near, lambda c: cover.reach(c, n), earlier=earlier, buckets=n).select("doc_id", "keys")
+    windows = windows.withColumn("runs", F.lit(None).cast("binary")) if runs is None else windows.join(runs, "doc_id", "full")
+    return docs, windows.select("doc_id", F.struct("keys", "runs").alias("found"))
 
 
 def cut_out(docs: DataFrame, windows: DataFrame, cover: Cover, finish: Callable[[Chunk, int, np.ndarray], tuple], schema: str) -> DataFrame:
@@ -77,16 +121,21 @@ def cut_out(docs: DataFrame, windows: DataFrame, cover: Cover, finish: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]):
         for c in chunks(batches):
-            busy = any(c.extra)
+            c.extra = [x or {"keys": None, "runs": None} for x in c.extra]
             prefix, low, high = cover.symbols(c)
-            place, number = starts(low, high, cover.width) if busy else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if any(x["runs"] for x in c.extra):
+                place, number, again, _ = cover.settled(c)
+            else:
+                place, number = starts(low, high, cover.width) if any(x["keys"] for x in c.extra) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                again = np.zeros(len(place), bool)
             cut = np.searchsorted(number, np.arange(len(c.ids) + 1))
             rows = []
             for i, doc in enumerate(c.ids):
                 covered = np.zeros(high[i] - low[i], bool)
-                if c.extra[i]:
-                    own = place[cut[i] : cut[i + 1]]
-                    at = own[member(roll(cover.seed).window(prefix, own, own + cover.width), unblob(c.extra[i]))] - low[i]
+                if c.extra[i]["keys"] or c.extra[i]["runs"]:
+                    own, known = place[cut[i] : cut[i + 1]], again[cut[i] : cut[i + 1]]
+                    rest = own[~known]
+                    at = np.concatenate([own[known], rest[member(roll(cover.seed).window(prefix, rest, rest + cover.width), unblob(c.extra[i]["keys"]))]]) - low[i]
                     step = np.zeros(len(covered) + 1, np.int32)
                     step[at] += 1
                     step[at + cover.width] -= 1
@@ -94,4 +143,4 @@ def cut_out(docs: DataFrame, windows: DataFrame, cover: Cover, finish: Callable[
                 rows.append((int(doc), *finish(c, i, covered)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
 
-    return docs.join(windows, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(run, schema)
+    return docs.join(windows, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(run, schema)

@@ -142,7 +142,11 @@ def _repeated(k, d, head, size, earlier: bool) -> np.ndarray:
     return d > np.repeat(d[head], size) if earlier else np.repeat(size > 1, size)
 
 
-def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, flush: int = 1 << 21) -> DataFrame:
+def _ranked(k, d, head, size) -> np.ndarray:
+    return k | (d > np.repeat(d[head], size)).astype(np.uint64)
+
+
+def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, ranked: bool = False, flush: int = 1 << 21) -> DataFrame:
     """(doc_id, n, keys): for each document, the sorted hashes of its own that occur elsewhere too, as one blob.
 
     extract gives (hash, document number in the chunk). earlier: only hashes that a document with a
@@ -152,7 +156,8 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
     What repeats within a chunk is settled there, and one entry per hash leaves it: a hash that a third
     of all documents share sends as many entries as there are chunks, so no bucket grows with a hot
     key. Buckets follow the input's size; each is sorted in memory on its own. narrow: hashes are folded()
-    to 32 bits within their bucket, for filters, where a few false repeats do no harm.
+    to 32 bits within their bucket, for filters, where a few false repeats do no harm. ranked: keys are even,
+    and come back odd where a smaller document has them.
     """
     n = buckets or bucket_count(docs)
 
@@ -160,8 +165,9 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
         k, d, head, size = _runs(folded(keys, n) if narrow else keys, ids)
         again = _repeated(k, d, head, size, earlier)
         if again.any():
-            order = np.lexsort((k[again], d[again]))
-            yield _pack(-1 - int(k[again][0] % np.uint64(n)), d[again][order], k[again][order])
+            own, of = (_ranked(k, d, head, size) if ranked else k)[again], d[again]
+            order = np.lexsort((own, of))
+            yield _pack(-1 - int(own[0] % np.uint64(n)), of[order], own[order])
         k, d = k[head], d[head]
         to = (k % np.uint64(n)).astype(np.int64)
         order = np.lexsort((d, to))
@@ -216,7 +222,7 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
         if bucket >= 0:
             k, d, head, size = _runs(k, d)
             again = _repeated(k, d, head, size, earlier)
-            k, d = k[again], d[again]
+            k, d = (_ranked(k, d, head, size) if ranked else k)[again], d[again]
         return blobs(by_document(k, d))
 
     def unpack(key, table):
