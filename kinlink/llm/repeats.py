@@ -90,13 +90,12 @@ class Cover:
         return roll(self.seed).window(prefix, place, place + self.width), doc
 
 
-def repeated_windows(docs: DataFrame, cover: Cover, *, earlier: bool, cluster: bool) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, cover: Cover, *, earlier: bool) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) and (doc_id, found): the hashes of each document's windows that repeat (found.keys), and of runs of
     windows that repeat as wholes (found.runs; for any repeat only, not for earlier ones).
 
     A run that repeats needs no answer for its windows, and only the smallest document that has it sends them, to be met
-    by windows of other runs. cluster: copies are brought together for round 2, so that most repeats are settled before
-    the shuffle; the exchange is a rebalance, whose large partitions Spark splits.
+    by windows of other runs.
     """
     docs, n = keyed(docs), bucket_count(docs)
     first = shared_keys(docs, lambda c: cover.names(c)[:2], earlier=False, buckets=n, narrow=True).select("doc_id", "keys")
@@ -107,8 +106,6 @@ def repeated_windows(docs: DataFrame, cover: Cover, *, earlier: bool, cluster: b
     else:
         runs = shared_keys(docs, lambda c: cover.segments(c)[:2], earlier=False, buckets=n, ranked=True).select("doc_id", F.col("keys").alias("runs"))
         near = near.join(runs, "doc_id", "left")
-    if cluster:
-        near = near.withColumn("least", F.substring("keys", 1, 8)).hint("rebalance", "least")
     near = near.select("doc_id", "text", F.struct("keys", "runs").alias("found"))
     windows = shared_keys(near, lambda c: cover.reach(c, n), earlier=earlier, buckets=n).select("doc_id", "keys")
     windows = windows.withColumn("runs", F.lit(None).cast("binary")) if runs is None else windows.join(runs, "doc_id", "full")

@@ -35,7 +35,7 @@ def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     if width < 8:
         raise ValueError("width must be 8 or more")
     cover = word_cover(width)
-    texts, windows = repeated_windows(docs, cover, earlier=True, cluster=False)
+    texts, windows = repeated_windows(docs, cover, earlier=True)
 
     def finish(c: Chunk, i: int, covered: np.ndarray):
         words = c.texts[i].split()

@@ -32,7 +32,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
     if width < 8:
         raise ValueError("width must be 8 or more")
     cover = byte_cover(width)
-    texts, windows = repeated_windows(docs, cover, earlier=False, cluster=False)
+    texts, windows = repeated_windows(docs, cover, earlier=False)
 
     def finish(c: Chunk, i: int, covered: np.ndarray):
         text = np.frombuffer(c.texts[i], np.uint8)
