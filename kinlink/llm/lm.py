@@ -89,16 +89,17 @@ def _classes(c: Chunk, head: np.ndarray, klass: np.ndarray):
     return h, number, place, stream, token
 
 
+def _training(c: Chunk) -> Chunk | None:
+    keep = [i for i, d in enumerate(c.ids.tolist()) if not _held(d)]
+    return Chunk([int(c.ids[i]) for i in keep], [c.texts[i] for i in keep]) if keep else None
+
+
 def corpus_counts(docs: DataFrame, head: np.ndarray, klass: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all training documents: exact counts of the head words (the end last), and the class trigrams with their counts."""
 
     def count(batches):
         words, cells = np.zeros(len(head) + 1, np.int64), np.zeros(n**3, np.int64)
-        for c in chunks(batches):
-            keep = [i for i, d in enumerate(c.ids.tolist()) if not _held(d)]
-            if not keep:
-                continue
-            c = Chunk([int(c.ids[i]) for i in keep], [c.texts[i] for i in keep])
+        for c in filter(None, map(_training, chunks(batches))):
             _, _, place, s, t = _classes(c, head, klass)
             words += np.bincount(np.where(place < 0, len(head) + 1, place), minlength=len(head) + 2)[: len(head) + 1]
             words[-1] += len(c.ids)
@@ -115,21 +116,31 @@ def corpus_counts(docs: DataFrame, head: np.ndarray, klass: np.ndarray, n: int)
     return words, np.stack([cell // (n * n), cell // n % n, cell % n], 1), c
 
 
-def head_words(docs: DataFrame, size: int, sample_rows: int) -> np.ndarray:
-    """Hashes of frequent words, most frequent first, found in about sample_rows documents. They only decide which words are
-    counted without a shuffle and which have a class of their own; every count is taken over all documents."""
-    share = max(1, docs.count() // sample_rows)
+def head_words(docs: DataFrame, size: int, flush: int = 1 << 20) -> np.ndarray:
+    """Hashes of the most frequent words of all training documents, most frequent first. A task sends a word once for every
+    flush distinct words it meets."""
 
     def count(batches):
-        for c in chunks(batches):
-            k, n = np.unique(c.words(lower=True)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "c"])
-
-    got = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(size).toPandas()
+        k, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "c"])
+
+        for c in filter(None, map(_training, chunks(batches))):
+            own, m = np.unique(c.words(lower=True)[0], return_counts=True)
+            k, inverse = np.unique(np.concatenate([k, own]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([n, m]), len(k)).astype(np.int64)
+            if len(k) >= flush:
+                yield out()
+                k, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(k):
+            yield out()
+
+    got = docs.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(size).toPandas()
     return got.k.to_numpy(np.int64).view(np.uint64)
 
 
-def lm_scores(docs: DataFrame, classes: int = 64, head_size: int = 50_000, sample_rows: int = 20_000) -> DataFrame:
+def lm_scores(docs: DataFrame, classes: int = 64, head_size: int = 50_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document; scores are log10 probabilities.
 
     Tokens are A-Z-lowered words and one end per text, also of null, empty and blank texts. Documents with
@@ -141,7 +152,7 @@ def lm_scores(docs: DataFrame, classes: int = 64, head_size: int = 50_000, sampl
     """
     docs = keyed(docs)
     n_b = bucket_count(docs)
-    ranked = head_words(docs, head_size, sample_rows)
+    ranked = head_words(docs, head_size)
     order = np.argsort(ranked)
     head, klass = ranked[order], np.where(order < classes - 2, order + 2, UNKNOWN)
     counts, cells, cell_counts = corpus_counts(docs, head, klass, classes)

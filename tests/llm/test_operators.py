@@ -162,6 +162,18 @@ def test_lm_base_and_normalization(docs):
     assert np.allclose((10 ** lm.LogBilinear(8).table()).sum(1), 1)
 
 
+def test_lm_ranks_words_over_all_training_documents(spark):
+    held = [i for i in range(50) if lm._held(i)]
+    rows = [(i, "only held" if i in held else f"often w{i}") for i in range(50)] + [(None, "null null null")] + [(50 + i, "late") for i in range(100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    trained = [t for i, t in rows if i is None or not lm._held(i)]
+    want = Counter(w for t in trained for w in t.split())
+    hashes = {w: int(lm.Chunk([0], [w.encode()]).words(lower=True)[0][0]) for w in [*want, "only", "held"]}
+    for flush in (1, 1 << 20):
+        got = lm.head_words(docs, 100, flush).tolist()
+        assert set(got) == {hashes[w] for w in want} and got[:3] == [hashes[w] for w in ("late", "often", "null")]
+
+
 def test_leaks(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(WORDS[60:90])), (2, "entirely other words that no document of this table holds at all"), (3, ""), (4, None), (5, "one two")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in leaks(docs, bench).collect()}
