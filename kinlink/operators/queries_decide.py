@@ -110,8 +110,12 @@ def dc13_hash_split(spark, d):
 def dc13_components(spark, d):
     from kinlink.operators.graph import connected_components
 
-    links = lists(spark, d).where("p >= 0.99").select("ref", (F.col("tgt") + F.lit(10**12)).alias("tgt"))
-    return connected_components(links, "ref", "tgt")
+    # a ref without gold links is a component of its own; targets lie above all refs, so every root is a ref
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    links = lists(spark, d).where("y = 1").select("ref", (F.col("tgt") + F.lit(10**12)).alias("tgt"))
+    refs = o.select(F.col("o_orderkey").alias("ref"), F.col("o_orderkey").alias("tgt"))
+    b = D.split_bucket(F.col("component"))
+    return connected_components(links.unionByName(refs), "ref", "tgt").withColumn("bucket", b).withColumn("part", F.when(b < 70, "train").when(b < 85, "dev").otherwise("holdout"))
 
 
 @query("select o_orderkey ref, ('0x'||substr(sha256(o_orderkey::varchar||'#fold'),1,8))::bigint % 100 % 2 fold from orders")

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from kinlink.operators import decide as D
@@ -41,3 +43,17 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {5: 2, 4: 2, 3: 2, 2: 2, 9: 8, 8: 8, 7: 7}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_components_span_all_gold_links(spark, tmp_path):
+    from kinlink.operators.queries_decide import dc13_components
+
+    lines = [(1, 7, "R"), (2, 7, "R"), (2, 8, "R"), (3, 8, "R"), (4, 9, "R"), (5, 9, "N"), (6, 7, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 8)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.node: r for r in dc13_components(spark, str(tmp_path)).collect()}
+    assert {k: r.component for k, r in got.items() if k < 10**12} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert {k - 10**12: r.component for k, r in got.items() if k > 10**12} == {7: 1, 8: 1, 9: 4}
+    for r in got.values():
+        h = int(hashlib.sha256(str(r.component).encode()).hexdigest()[:8], 16) % 100
+        assert (r.bucket, r.part) == (h, "train" if h < 70 else "dev" if h < 85 else "holdout")
