@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.plans.scratch import materialize
+from kinlink.plans.scratch import materialize, partitions_for
 
 RATE, FRAME, HOP = 4000, 512, 128
 #: Frames that a filter spans at most; so many frames give one integer less than frames - WIDEST + 1.
@@ -107,45 +107,72 @@ def fingerprints(media: DataFrame, key: str = "id", column: str = "media") -> Da
     return media.select(media[key].cast("long").alias("id"), media[column].cast("binary").alias("media")).mapInArrow(run, "id long, print binary")
 
 
-def recordings(prints: DataFrame, every: int = 50, most_errors: float = 0.35, least_overlap: int = 16) -> DataFrame:
+def alignments(x: np.ndarray, ys: np.ndarray, most_errors: float, least_overlap: int) -> list[tuple[int, int, int, int]]:
+    """(row of ys, offset, overlap, errors) for each row that aligns with x. All offsets are verified; of those that pass, the one
+    with most equal integers counts, then the one with the smallest share of errors, then the least."""
+    m, n = len(x), ys.shape[1]
+    need, best = min(least_overlap, m, n), {}
+    for off in range(need - m, n - need + 1):
+        lo, hi = max(0, -off), min(m, n - off)
+        own, cut = x[lo:hi], ys[:, lo + off : hi + off]
+        errors = np.bitwise_count(own ^ cut).sum(1, dtype=np.int64)
+        for j in np.flatnonzero(errors <= most_errors * 32 * (hi - lo)).tolist():
+            e = int(errors[j])
+            rank = (int((own == cut[j]).sum()), -e / (hi - lo), -abs(off), -off)
+            if j not in best or rank > best[j][0]:
+                best[j] = rank, off, hi - lo, e
+    return [(j, *x[1:]) for j, x in best.items()]
+
+
+def recordings(prints: DataFrame, every: int = 50, most_errors: float = 0.35, least_overlap: int = 16, block: int = 64 << 10) -> DataFrame:
     """(query_id, match_id, offset, overlap, errors, bit_error_rate, match_copies), for each query and each recording that aligns with it.
 
     Queries are the rows whose id is divisible by `every`. Equal prints are one recording, named by its smallest id;
-    match_copies counts its rows, and class_of() tells them. A recording is a candidate if some integer occurs in both;
-    the offset is the one that most such pairs vote for (the least on ties), and the share of differing bits over
-    the overlap decides. Rows without id or with empty prints match nothing.
+    match_copies counts its rows. Every query is compared with every recording at every offset, in blocks of about `block` bytes:
+    pairs at the allowed share of errors need not have any integer in common, so no key stands for them.
+    Rows without id or with empty prints match nothing.
     """
     prints = materialize(prints.where("id is not null and length(print) > 0"), "prints")
     classes = prints.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("query"))
     classes = materialize(classes, "recordings")
 
-    def explode(batches):
-        for b in batches:
-            for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v, at = np.unique(np.frombuffer(p, np.uint32), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i)), pa.array(v.astype(np.int64)), pa.array(at.astype(np.int32))], ["i", "v", "at"])
+    def pack(batches):
+        held, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([[r[k] for r in held]], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["ids", "copies", "prints"])
 
-    terms = "i long, v long, at int"
-    asked = classes.where("query is not null").select("rep", "print").mapInArrow(explode, terms).select(F.col("i").alias("q"), "v", F.col("at").alias("qa"))
-    held = classes.select("rep", "print").mapInArrow(explode, terms)
-    votes = asked.join(held, "v").where("q <> i").groupBy("q", "i", (F.col("at") - F.col("qa")).alias("offset")).count()
-    best = votes.groupBy("q", "i").agg(F.max_by("offset", F.struct("count", -F.abs("offset"), -F.col("offset"))).alias("offset"))
-    sides = best.join(classes.select(F.col("rep").alias("q"), F.col("print").alias("qp")), "q").join(classes.select(F.col("rep").alias("i"), "print", "copies"), "i")
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(r)
+                size += len(r[2])
+                if size >= block:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    blocks = "ids array<bigint>, copies array<bigint>, prints array<binary>"
+    asked = classes.where("query is not null").select("rep", "copies", "print").mapInArrow(pack, blocks).select(F.col("ids").alias("q"), F.col("prints").alias("qp"))
+    held = classes.select("rep", "copies", "print").mapInArrow(pack, blocks).repartition(partitions_for(classes, 1 << 20))
 
     def compare(batches):
         for b in batches:
-            rows = []
-            for q, i, off, qp, p, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = np.frombuffer(qp, np.uint32), np.frombuffer(p, np.uint32)
-                lo, hi = max(0, -off), min(len(x), len(y) - off)
-                if hi - lo >= min(least_overlap, len(x), len(y)):
-                    errors = int(np.bitwise_count(x[lo:hi] ^ y[lo + off : hi + off]).sum())
-                    if errors <= most_errors * 32 * (hi - lo):
-                        rows.append((q, i, off, hi - lo, errors, errors / (32 * (hi - lo)), copies))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], ["q", "match_id", "offset", "overlap", "errors", "bit_error_rate", "match_copies"])
-
-    found = sides.select("q", "i", "offset", "qp", "print", "copies").mapInArrow(compare, "q long, match_id long, offset int, overlap int, errors int, bit_error_rate double, match_copies long")
+            for qs, qps, ids, copies, ps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, by_length = [], {}
+                for k, p in enumerate(ps):
+                    by_length.setdefault(len(p), []).append(k)
+                groups = [(at, np.stack([np.frombuffer(ps[k], np.uint32) for k in at])) for at in by_length.values()]
+                for q, qp in zip(qs, qps, strict=True):
+                    for at, ys in groups:
+                        for j, off, overlap, errors in alignments(np.frombuffer(qp, np.uint32), ys, most_errors, least_overlap):
+                            if ids[at[j]] != q:
+                                rows.append((q, ids[at[j]], off, overlap, errors, errors / (32 * overlap), copies[at[j]]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], ["q", "match_id", "offset", "overlap", "errors", "bit_error_rate", "match_copies"])
+
+    pairs = held.crossJoin(materialize(asked, "asked")).select("q", "qp", "ids", "copies", "prints")
+    found = pairs.mapInArrow(compare, "q long, match_id long, offset int, overlap int, errors int, bit_error_rate double, match_copies long")
     # a query's own recording is its first match
     own = classes.where("query is not null").select(F.col("rep").alias("q"), F.col("rep").alias("match_id"), F.lit(0).alias("offset"), (F.length("print") / 4).cast("int").alias("overlap"), F.lit(0).alias("errors"), F.lit(0.0).alias("bit_error_rate"), F.col("copies").alias("match_copies"))
     members = prints.where(F.col("id") % every == 0).join(classes.select("print", F.col("rep").alias("q")), "print").select("q", F.col("id").alias("query_id"))

@@ -200,3 +200,24 @@ def test_media(spark):
     rows = [(0, whole.tobytes()), (1, part.tobytes()), (2, whole.tobytes()), (3, b""), (None, b"")]
     got = {(r.query_id, r.match_id): r for r in media.recordings(spark.createDataFrame(rows, "id long, print binary")).collect()}
     assert got[0, 0].match_copies == 2 and got[0, 1].offset == -10
+
+
+def test_media_alignment_is_exhaustive(spark):
+    rng = np.random.default_rng(5)
+    x, y, z, w = (rng.integers(0, 2**32, n, dtype=np.uint32) for n in (30, 20, 25, 40))
+    far = w.copy()
+    for i in range(len(far)):
+        far[i] ^= np.bitwise_or.reduce(np.uint32(1) << rng.choice(32, 8, replace=False).astype(np.uint32))  # no integer stays equal
+    rows = [(0, np.concatenate([x, z])), (1, np.concatenate([x, y, x, z])), (50, w), (51, far), (100, np.full(40, 7, np.uint32)), (101, np.concatenate([np.full(30, 9, np.uint32), np.full(40, 7, np.uint32)]))]
+    table = spark.createDataFrame([(i, p.tobytes()) for i, p in rows], "id long, print binary")
+    want = {}
+    for (q, a), (i, b) in itertools.product(rows, rows):
+        if q % 50 == 0 and q != i:
+            for off in range(-len(a), len(b)):
+                lo, hi = max(0, -off), min(len(a), len(b) - off)
+                if hi - lo >= 16 and (e := int(np.bitwise_count(a[lo:hi] ^ b[lo + off : hi + off]).sum())) <= 0.35 * 32 * (hi - lo):
+                    want.setdefault((q, i), {})[off] = hi - lo, e
+    for block in (1, 64 << 10):
+        got = {(r.query_id, r.match_id): r for r in media.recordings(table, block=block).collect() if r.query_id != r.match_id}
+        assert set(got) == set(want) and all(want[k][r.offset] == (r.overlap, r.errors) for k, r in got.items())
+        assert got[0, 1].offset == 50 and got[50, 51].offset == 0 and got[100, 101].offset == 30
