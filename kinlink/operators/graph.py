@@ -13,8 +13,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round re-hangs neighbours onto the smallest one they know; stars flatten in O(log^2 n) rounds and
     a round moves each edge a constant number of times. Self links and repeated links are allowed, null
-    ends are ignored; an empty frame gives an empty one.
+    ends are ignored; an empty frame gives an empty one. Ends must be whole numbers: others raise.
     """
+    for c in (src, dst):
+        if edges.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+            raise TypeError(f"{c} must hold whole numbers; number string ids first")
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a.isNotNull() & b.isNotNull()).distinct()
     e = materialize(e, "cc")
@@ -38,4 +41,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("b").alias("node")).unionByName(loops.select(F.col("a").alias("node"))).distinct()
     tied = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return tied.unionByName(roots.join(tied, "node", "left_anti").select("node", F.col("node").alias("component")))
+    out = materialize(tied.unionByName(roots.join(tied, "node", "left_anti").select("node", F.col("node").alias("component"))), "cc")
+    drop(e, cur)
+    return out

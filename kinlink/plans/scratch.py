@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests only)."""
+    """The folder that all executors share: spark.checkpoint.dir, which the session or the cluster names."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/kinlink-scratch"
+    if not root and spark.sparkContext.master.startswith("local"):
+        # one machine: any of its folders is shared
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
         spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root.rstrip("/")
 
 
@@ -36,20 +39,27 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def drop(df: DataFrame | None) -> None:
-    """Delete the files behind a materialized frame that nothing reads any more."""
-    path = getattr(df, "_kinlink_path", None)
-    if path:
-        p, fs = _path(df.sparkSession, path)
-        fs.delete(p, True)
+def drop(*frames: DataFrame | None) -> None:
+    """Delete the files behind materialized frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_kinlink_path", None)
+        if path:
+            p, fs = _path(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more: they would stay until the driver's next collection."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for a file scan, the bytes of the files."""
+    """The optimizer's size estimate; for a file scan, the bytes of the files. Above 2^60 it says that the size is unknown."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """A partition count that follows the data: at least spark.sql.shuffle.partitions, more for a large input."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, input_bytes(df) // bytes_each + 1))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return max(least, size // bytes_each + 1) if size < 1 << 60 else least
