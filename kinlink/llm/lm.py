@@ -187,10 +187,10 @@ def lm_scores(docs: DataFrame, classes: int = 64, head_size: int = 50_000) -> Da
                 x = slice(at[b], at[b + 1])
                 cut = np.flatnonzero(np.concatenate([[True], d[x][1:] != d[x][:-1]]))
                 rows.append((int(b), c.ids[d[x][cut]].tobytes(), np.diff(np.append(cut, len(d[x]))).astype(np.uint32).tobytes(), k[x].tobytes() + tf[x].astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "docs", "counts", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "docs", "counts", "keys"])
 
     def blobs(rows):
-        return pa.table([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "docs", "counts", "keys"])
+        return pa.table([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "docs", "counts", "keys"])
 
     def deal(d: np.ndarray, x: np.ndarray) -> list:
         to = (mix(d.view(np.uint64)) % np.uint64(n_b)).astype(np.int64)

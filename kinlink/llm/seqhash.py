@@ -6,6 +6,7 @@ window in constant time, so no Python loop runs per byte or per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.plans.scratch import partitions_for
+from kinlink.plans.scratch import input_bytes
 
 #: Stands for a null id; it sorts before every other id.
 NO_ID = -(2**63)
 CHUNK = 2 << 20
-BLOB = "bucket int, docs binary, counts binary, keys binary"
+BLOB = "bucket long, docs binary, counts binary, keys binary"
+#: A group sends to so many others at most; more buckets than that are reached over several exchanges.
+RADIX = 1024
+#: Words of more bytes are hashed by blake2b: polynomials modulo 2^64 are equal for some pairs of very long words.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +39,7 @@ class Roll:
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(2**62, 2**63)) * 2 + 1
+        self.base = int(rng.integers(2**60, 2**61)) * 8 + 5
         self.grow(1 << 12)
 
     def grow(self, n: int) -> None:
@@ -47,7 +52,7 @@ class Roll:
         """symbols: uint8 (mapped by the table) or uint64 (taken as they are)."""
         n = len(symbols)
         if n + 1 > len(self.pw):
-            self.grow(2 * n + 2)
+            self.grow(n + 2 + (n >> 3))
         out = np.zeros(n + 1, np.uint64)
         np.cumsum((self.table[symbols] if symbols.dtype == np.uint8 else symbols) * self.pw[:n], out=out[1:])
         return out
@@ -86,6 +91,8 @@ class Chunk:
         first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         r = roll(11)
         h = r.window(r.prefix(buf), first, end)
+        for i in np.flatnonzero(end - first > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(buf[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
         return h, first, end, np.append(np.searchsorted(first, self.start), len(first))
 
 
@@ -108,7 +115,26 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Ch
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return 2 * partitions_for(docs, 8 << 20)
+    """Buckets follow the bytes of the input alone, not its partitions, and have no upper limit. Where the optimizer knows no size, the
+    texts are measured."""
+    size = input_bytes(docs)
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 16 + 2 * (size // (8 << 20))
+
+
+def hops(n: int) -> list[int]:
+    """How many buckets stand together at each exchange but the last, from the coarsest on: none for up to RADIX buckets."""
+    sizes = [RADIX]
+    while sizes[-1] < n:
+        sizes.append(sizes[-1] * RADIX)
+    return sizes[-2::-1]
+
+
+def label(to: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """Where entries for the buckets `to` wait: with others of their `size` buckets, spread by the salt. A group of an exchange
+    sends RADIX blobs at most, so rows follow the buckets and not their square."""
+    return to // size * size + salt % size
 
 
 def folded(keys: np.ndarray, n: int) -> np.ndarray:
@@ -146,20 +172,53 @@ def _ranked(k, d, head, size) -> np.ndarray:
     return k | (d > np.repeat(d[head], size)).astype(np.uint64)
 
 
-def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, ranked: bool = False, flush: int = 1 << 21) -> DataFrame:
+COLUMNS = ["bucket", "docs", "counts", "keys"]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=COLUMNS)
+
+
+def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and documents of blobs."""
+    k = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    d = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+    c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    return k, np.repeat(d, c)
+
+
+def _dealt(to: np.ndarray, k: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
+    """One blob for each bucket, its entries by document, then key."""
+    order = np.lexsort((k, d, to))
+    k, d, to = k[order], d[order], to[order]
+    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(to)][: len(cut)], strict=True):
+        yield _pack(int(to[i]), d[i:j], k[i:j])
+
+
+def home(d: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a document's answers."""
+    return (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, ranked: bool = False, counted: bool = False, flush: int = 1 << 20) -> DataFrame:
     """(doc_id, n, keys): for each document, the sorted hashes of its own that occur elsewhere too, as one blob.
 
     extract gives (hash, document number in the chunk). earlier: only hashes that a document with a
     smaller id has; else: hashes with two entries anywhere. Documents without any are left out, unless
-    sizes(chunk) is given: then each document has a row, and n is its size.
+    sizes(chunk) is given: then each document has a row, and n is its size, summed over the rows of an id.
 
     What repeats within a chunk is settled there, and one entry per hash leaves it: a hash that a third
     of all documents share sends as many entries as there are chunks, so no bucket grows with a hot
-    key. Buckets follow the input's size; each is sorted in memory on its own. narrow: hashes are folded()
-    to 32 bits within their bucket, for filters, where a few false repeats do no harm. ranked: keys are even,
-    and come back odd where a smaller document has them.
+    key. Buckets follow the input's size; each is sorted in memory on its own. More than RADIX buckets are reached over
+    several exchanges, each of which sends on RADIX blobs from a group, so rows never grow with the square of the buckets.
+    narrow: hashes are folded() to 32 bits within their bucket, for filters, where a few false repeats do no harm. ranked:
+    keys are even, and come back odd where a smaller document has them. counted: the last five bits of keys are zero, and come back as
+    the bits of the number of documents that have the key; extract gives a document's distinct keys, and nothing is settled before.
     """
     n = buckets or bucket_count(docs)
+    coarse = hops(n)
+    thin = narrow and not coarse
 
     def route(keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         k, d, head, size = _runs(folded(keys, n) if narrow else keys, ids)
@@ -170,67 +229,84 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
             yield _pack(-1 - int(own[0] % np.uint64(n)), of[order], own[order])
         k, d = k[head], d[head]
         to = (k % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((d, to))
-        k, d, to = k[order], d[order], to[order]
-        at = np.searchsorted(to, np.arange(n + 1))
-        for b in np.unique(to):
-            own = k[at[b] : at[b + 1]]
-            yield _pack(int(b), d[at[b] : at[b + 1]], (own // np.uint64(n)).astype(np.uint32) if narrow else own)
+        for b, own, c, blob in _dealt(label(to, coarse[0], int(k[0] >> np.uint64(1))) if coarse else to, k, d):
+            yield b, own, c, (np.frombuffer(blob, np.uint64) // np.uint64(n)).astype(np.uint32).tobytes() if thin else blob
 
     def send(batches):
         held, count = [], 0
 
         def out(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "docs", "counts", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], COLUMNS)
 
-        for c in chunks(batches):
+        for c in chunks(batches, 0 if counted else CHUNK):
             keys, number = extract(c)
             if sizes is not None and len(c.ids):
                 yield out([(-1 - n - int(c.ids[0] % n), c.ids.tobytes(), sizes(c).astype(np.uint32).tobytes(), b"")])
             held.append((keys, c.ids[number]))
             count += len(keys)
-            if count >= flush:
-                yield out(route(*map(np.concatenate, zip(*held, strict=True))))
+            if count >= (1 if counted else flush):
+                yield out(list(route(*map(np.concatenate, zip(*held, strict=True)))))
                 held, count = [], 0
         if count:
-            yield out(route(*map(np.concatenate, zip(*held, strict=True))))
-
-    def blobs(rows):
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "docs", "counts", "keys"])
-
-    def by_document(k, d):
+            yield out(list(route(*map(np.concatenate, zip(*held, strict=True)))))
+
+    def nearer(size: int, bucket: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        """An exchange on the way: entries go on to the labels of the next size, or to their buckets."""
+
+        def run(key, table):
+            at = key[0].as_py()
+            if at < 0:
+                return table.select(COLUMNS)
+            sized = np.array([x is None for x in table.column("keys").to_pylist()], bool)
+            k, d = _read(table.filter(pa.array(~sized))) if not sized.all() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            to = bucket(k, d)
+            rows = list(_dealt(label(to, size, at) if size > 1 else to, k, d))
+            for x in table.filter(pa.array(sized)).to_pylist():
+                d, c = np.frombuffer(x["docs"], np.int64), np.frombuffer(x["counts"], np.uint32)
+                to = home(d, n)
+                to = label(to, size, at) if size > 1 else to
+                rows += [(int(b), d[to == b].tobytes(), c[to == b].tobytes(), None) for b in np.unique(to)]
+            return _table(rows)
+
+        return run
+
+    def by_document(k, d, at):
         """Blobs again, dealt out by document."""
-        to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((k, d, to))
-        k, d, to = k[order], d[order], to[order]
-        at = np.searchsorted(to, np.arange(n + 1))
-        return [_pack(int(b), d[at[b] : at[b + 1]], k[at[b] : at[b + 1]]) for b in np.unique(to)]
+        to = home(d, n)
+        return list(_dealt(label(to, coarse[0], at) if coarse else to, k, d))
 
     def settle(key, table):
         bucket = key[0].as_py()
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
         if bucket < -n:
-            to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-            return blobs([(int(b), d[to == b].tobytes(), c[to == b].tobytes(), None) for b in np.unique(to)])
-        small = narrow and bucket >= 0
-        k = np.concatenate([np.frombuffer(x, np.uint32 if small else np.uint64) for x in table.column("keys").to_pylist()])
-        if small:
-            k = k.astype(np.uint64) * np.uint64(n) + np.uint64(bucket)
-        d = np.repeat(d, c)
+            d = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+            c = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+            to = home(d, n)
+            to = label(to, coarse[0], -bucket) if coarse else to
+            order = np.argsort(to, kind="stable")
+            d, c, to = d[order], c[order], to[order]
+            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            return _table([(int(to[i]), d[i:j].tobytes(), c[i:j].tobytes(), None) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(to)][: len(cut)], strict=True)])
+        if bucket >= 0 and thin:
+            wide = [(np.frombuffer(x, np.uint32).astype(np.uint64) * np.uint64(n) + np.uint64(bucket)).tobytes() for x in table.column("keys").to_pylist()]
+            table = table.set_column(table.column_names.index("keys"), "keys", pa.array(wide, pa.binary()))
+        k, d = _read(table)
         if bucket >= 0:
             k, d, head, size = _runs(k, d)
             again = _repeated(k, d, head, size, earlier)
+            if counted:
+                k = k | np.repeat(np.minimum(31, np.floor(np.log2(size)) if len(size) else size).astype(np.uint64), size)
             k, d = (_ranked(k, d, head, size) if ranked else k)[again], d[again]
-        return blobs(by_document(k, d))
+        return _table(by_document(k, d, abs(bucket)))
 
     def unpack(key, table):
-        sized = np.array([x is None for x in table.column("keys").to_pylist()], bool)
-        parts = [(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32), r["keys"]) for r in table.select(["docs", "counts", "keys"]).to_pylist()]
-        total = {int(i): int(x) for (d, c, k) in parts if k is None for i, x in zip(d, c, strict=True)}
+        parts = [(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32), r["keys"]) for r in table.select(COLUMNS[1:]).to_pylist()]
+        total: dict[int, int] = {}
+        for d, c, k in parts:
+            if k is None:
+                for i, x in zip(d.tolist(), c.tolist(), strict=True):
+                    total[i] = total.get(i, 0) + x
         found: dict[int, bytes] = {}
-        if not sized.all():
+        if any(k is not None for _, _, k in parts):
             d = np.concatenate([np.repeat(d, c) for d, c, k in parts if k is not None])
             k = np.concatenate([np.frombuffer(k, np.uint64) for _, _, k in parts if k is not None])
             order = np.lexsort((k, d))
@@ -242,8 +318,13 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
         ids = sorted(total.keys() | found.keys())
         return pa.table([pa.array(ids, pa.int64()), pa.array([total.get(i) for i in ids], pa.int64()), pa.array([found.get(i) for i in ids], pa.binary())], names=["doc_id", "n", "keys"])
 
-    settled = docs.mapInArrow(send, BLOB).groupBy("bucket").applyInArrow(settle, BLOB)
-    return settled.groupBy("bucket").applyInArrow(unpack, "doc_id long, n long, keys binary")
+    at = docs.mapInArrow(send, BLOB)
+    for size in [*coarse[1:], 1][: len(coarse)]:
+        at = at.groupBy("bucket").applyInArrow(nearer(size, lambda k, d: (k % np.uint64(n)).astype(np.int64)), BLOB)
+    at = at.groupBy("bucket").applyInArrow(settle, BLOB)
+    for size in [*coarse[1:], 1][: len(coarse)]:
+        at = at.groupBy("bucket").applyInArrow(nearer(size, lambda k, d: home(d, n)), BLOB)
+    return at.groupBy("bucket").applyInArrow(unpack, "doc_id long, n long, keys binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
