@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.gbt import Boosted, Isotonic, calibrated
 from kinlink.llm.seqhash import chunks, keyed, unkeyed
+from kinlink.plans.scratch import materialize
 
 #: A seed list of insults, and second-person forms of four languages.
 SEED = frozenset("idiot idiots moron morons stupid dumb trash pathetic disgusting clown clowns loser losers garbage worthless scum hate shut kill ugly fool crap damn hell bastard freak creep dummkopf arschloch scheisse idiota estupido imbecil basura mierda imbecile connard merde ordure salaud".split())
@@ -39,8 +40,7 @@ def features(text: str, weight: dict[str, float]) -> list[float]:
     hidden = sum(c for w, c in count.items() if not w.isalpha() and ((plain := w.translate(LEET)) != w) and (plain in SEED or weight.get(plain, 0) > 1))
     second = [i for i, w in enumerate(words) if w in SECOND]
     bad = [i for i, w in enumerate(words) if w in SEED or weight.get(w, 0) > 1] if seed or odds else []
-    at = np.array(second)
-    near = sum(int(np.any(np.abs(at - i) <= 5)) for i in bad) if len(at) else 0
+    near = int((np.searchsorted(second, np.array(bad) + 5, "right") > np.searchsorted(second, np.array(bad) - 5)).sum()) if second and bad else 0
     letters = max(1, len(text))
     capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if capitals > 2 else 0
@@ -65,10 +65,13 @@ class ToxicityModel:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: int) -> DataFrame:
-    """Up to `rows` training documents (doc_id, text, y), the first by a hash of the id: a documented bound on what trains a classifier."""
+    """Up to `rows` training documents (doc_id, text, y), the first by a hash of the id: a documented bound on what trains a classifier. Of rows
+    that share a doc_id the one with the least text trains."""
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max("y").alias("y"))
     few = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return keyed(docs).join(few, "doc_id").dropDuplicates(["doc_id"])
+    # at most `rows` ids go to all tasks; texts are picked where they are read, and only these are written
+    found = keyed(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return materialize(found, "labelled")
 
 
 def held_out(doc_id, parts: int, part: int) -> F.Column:
@@ -86,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, held: F.Column, rows: int = 20_000
             total: dict[tuple[str, int], list[int]] = {}
             for doc, text, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for w in set(tokens(text or "")):
-                    x = total.setdefault((w[:64], doc % FOLDS), [0, 0])
+                    x = total.setdefault((w, doc % FOLDS), [0, 0])
                     x[0] += y
                     x[1] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], ["word", "fold", "toxic", "seen"])
