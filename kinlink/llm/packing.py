@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from kinlink.llm.seqhash import chunks, keyed, unkeyed
 from kinlink.plans.scratch import drop, materialize
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters and then marks: the tokenizer breaks between them, and marks but for the apostrophe stay together.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordIds(dict):
     """Little-endian ids of a blank-free piece of text. The tokenizer breaks at every blank, so a text's ids are those of
     its pieces in turn; letters with closing marks go to the vocabulary's merges directly, all else to the whole
-    tokenizer. Both caches are emptied when full, so memory does not follow the vocabulary of the corpus."""
+    tokenizer. A full cache becomes the old one, from which words in use come back, and the one that was old goes: memory does not
+    follow the vocabulary of the corpus, and common words stay."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tk, self.limit, self.letters = Tokenizer.from_file(path), limit, {}
-        self.tk.encode_special_tokens = True
+        self.tk, self.limit = Tokenizer.from_file(path), limit
+        self.old, self.letters, self.old_letters, self.marks = {}, {}, {}, {}
         # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest for code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
@@ -36,16 +38,29 @@ class WordIds(dict):
     def _letters(self, w: str) -> bytes:
         got = self.letters.get(w)
         if got is None:
+            got = self.old_letters.get(w)
+            if got is None:
+                ids = [t.id for t in self.tk.model.tokenize("".join([self.byte[b] for b in w.encode()]))]
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.letters) >= self.limit:
-                self.letters.clear()
-            ids = [t.id for t in self.tk.model.tokenize("".join([self.byte[b] for b in w.encode()]))]
-            got = self.letters[w] = struct.pack(f"<{len(ids)}I", *ids)
+                self.letters, self.old_letters = {}, self.letters
+            self.letters[w] = got
         return got
 
+    def _marks(self, w: str) -> bytes:
+        if w not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[w] = self._whole(w)
+        return self.marks[w]
+
     def __missing__(self, w: str) -> bytes:
-        m = _PLAIN.fullmatch(w)
-        got = self._letters(m[1].lower()) + (self._whole(m[2]) if m[2] else b"") if m else self._whole(w)
+        got = self.old.get(w)
+        if got is None:
+            m = _PLAIN.fullmatch(w)
+            got = self._letters(m[1].lower()) + (self._marks(m[2]) if m[2] else b"") if m else self._whole(w)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[w] = got
         return got
@@ -54,11 +69,21 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_words: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One tokenizer and one cache for all tasks that a worker runs."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and a final 0, cut into pieces of `size`. Null text: the 0 alone."""
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for c in chunks(batches):
             rows = []
             for doc, text in zip(c.ids.tolist(), c.texts, strict=True):
@@ -167,11 +192,11 @@ def evolve(lengths: np.ndarray, start: list[list[int]], size: int, seed: int, po
 def pack(parts: DataFrame, size: int = 2048, shard_rows: int = 16_384, islands: int = 3, epochs: int = 2) -> DataFrame:
     """parts(doc_id, piece, start, length, ids_crc32) with sequence_id and offset: gapless sequences of at most `size`.
 
-    Pieces are dealt by hash into shards of about shard_rows, each a packing problem of its own that wastes
+    Pieces are dealt by a hash of id, content and row into shards of about shard_rows, each a packing problem of its own that wastes
     less than a sequence against the whole. Every shard lives on several islands, rows of a DataFrame; after
     each epoch an island receives the elite of the next one. Only lengths and assignments travel.
     """
-    parts = materialize(parts, "pieces")
+    parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-parts.count() // shard_rows))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -180,7 +205,7 @@ def pack(parts: DataFrame, size: int = 2048, shard_rows: int = 16_384, islands:
         meta = [np.asarray(table.column(c).to_numpy(), np.int64) for c in cols]
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.stack(meta).tobytes()]), pa.array([meta[3].astype(np.int32).tobytes()])], names=["shard", "meta", "lengths"])
 
-    dealt = materialize(parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "shard long, meta binary, lengths binary"), "shards")
+    dealt = materialize(parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "shard long, meta binary, lengths binary"), "shards")
 
     def epoch(number: int):
         def run(batches):
@@ -198,7 +223,7 @@ def pack(parts: DataFrame, size: int = 2048, shard_rows: int = 16_384, islands:
 
     at = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.lit(None).cast("binary").alias("genome"), F.lit(None).cast("binary").alias("migrant"))
     for k in range(epochs):
-        flat = at.repartition(max(2, min(islands * shards, 4096)), "shard", "island")
+        flat = at.repartition(max(2, islands * shards), "shard", "island")
         at = materialize(flat.mapInArrow(epoch(k), "shard long, island int, lengths binary, genome binary, bins long, fill double"), "islands")
         elite = at.select("shard", F.pmod(F.col("island") - 1, F.lit(islands)).alias("island"), F.col("genome").alias("migrant"))
         last, at = at, at.drop("bins", "fill").join(elite, ["shard", "island"]).select("shard", "island", "lengths", "genome", "migrant")

@@ -126,7 +126,6 @@ def test_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     tk = tokenizers.Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     got = packing.packed(docs, path, 128).toPandas()
     want = []
     for k, t in HARD:
