@@ -38,7 +38,8 @@ class Roll:
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        # with the last eight bits all different, texts of under 1024 bytes have no equal hashes by structure (Thue-Morse words have, if longer)
+        self.table = rng.integers(0, 2**56, 256, dtype=np.uint64) << np.uint64(8) | rng.permutation(256).astype(np.uint64)
         self.base = int(rng.integers(2**60, 2**61)) * 8 + 5
         self.grow(1 << 12)
 
@@ -201,7 +202,7 @@ def home(d: np.ndarray, n: int) -> np.ndarray:
     return (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, ranked: bool = False, counted: bool = False, flush: int = 1 << 20) -> DataFrame:
+def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], *, earlier: bool, sizes: Callable | None = None, buckets: int | None = None, narrow: bool = False, ranked: bool = False, counted: bool = False, bucket_of: Callable | None = None, grouped: Callable = _runs, flush: int = 1 << 20) -> DataFrame:
     """(doc_id, n, keys): for each document, the sorted hashes of its own that occur elsewhere too, as one blob.
 
     extract gives (hash, document number in the chunk). earlier: only hashes that a document with a
@@ -215,10 +216,12 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
     narrow: hashes are folded() to 32 bits within their bucket, for filters, where a few false repeats do no harm. ranked:
     keys are even, and come back odd where a smaller document has them. counted: the last five bits of keys are zero, and come back as
     the bits of the number of documents that have the key; extract gives a document's distinct keys, and nothing is settled before.
+    bucket_of(keys, n): the buckets of keys, the key modulo n otherwise. grouped(keys, documents): how a bucket finds equal keys.
     """
     n = buckets or bucket_count(docs)
     coarse = hops(n)
     thin = narrow and not coarse
+    bucket_of = bucket_of or (lambda k, n: (k % np.uint64(n)).astype(np.int64))
 
     def route(keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         k, d, head, size = _runs(folded(keys, n) if narrow else keys, ids)
@@ -228,7 +231,7 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
             order = np.lexsort((own, of))
             yield _pack(-1 - int(own[0] % np.uint64(n)), of[order], own[order])
         k, d = k[head], d[head]
-        to = (k % np.uint64(n)).astype(np.int64)
+        to = bucket_of(k, n)
         for b, own, c, blob in _dealt(label(to, coarse[0], int(k[0] >> np.uint64(1))) if coarse else to, k, d):
             yield b, own, c, (np.frombuffer(blob, np.uint64) // np.uint64(n)).astype(np.uint32).tobytes() if thin else blob
 
@@ -291,7 +294,7 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
             table = table.set_column(table.column_names.index("keys"), "keys", pa.array(wide, pa.binary()))
         k, d = _read(table)
         if bucket >= 0:
-            k, d, head, size = _runs(k, d)
+            k, d, head, size = grouped(k, d)
             again = _repeated(k, d, head, size, earlier)
             if counted:
                 k = k | np.repeat(np.minimum(31, np.floor(np.log2(size)) if len(size) else size).astype(np.uint64), size)
@@ -320,7 +323,7 @@ def shared_keys(docs: DataFrame, extract: Callable[[Chunk], tuple[np.ndarray, np
 
     at = docs.mapInArrow(send, BLOB)
     for size in [*coarse[1:], 1][: len(coarse)]:
-        at = at.groupBy("bucket").applyInArrow(nearer(size, lambda k, d: (k % np.uint64(n)).astype(np.int64)), BLOB)
+        at = at.groupBy("bucket").applyInArrow(nearer(size, lambda k, d: bucket_of(k, n)), BLOB)
     at = at.groupBy("bucket").applyInArrow(settle, BLOB)
     for size in [*coarse[1:], 1][: len(coarse)]:
         at = at.groupBy("bucket").applyInArrow(nearer(size, lambda k, d: home(d, n)), BLOB)

@@ -12,8 +12,8 @@ from kinlink.llm.seqhash import Chunk, roll, unkeyed
 
 
 def byte_cover(width: int = 400) -> Cover:
-    """The largest cover that leaves names of a fifth of the width; it samples q+1 of q^2+q+1 bytes."""
-    q = max(q for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31) if q == 2 or q * q + q + 1 <= 0.8 * width)
+    """The largest cover that leaves names of half the width; it samples q+1 of q^2+q+1 bytes."""
+    q = max(q for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31) if q == 2 or q * q + q + 1 <= 0.5 * width)
     return Cover(lambda c: (roll(21).prefix(c.buf), c.start, c.start + c.lengths), width, q, 21)
 
 
@@ -24,10 +24,10 @@ def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
     any document. Both places lose it. Null and empty texts give zeros and an empty rest; a null doc_id
     stays null; repeated rows repeat each other's text and are both emptied of it.
 
-    Suffixes that start in the difference cover are named by the hash of their first bytes, sorted and
-    compared with their neighbours; a suffix is merged in by its distance to a name that repeats, and equal
-    prefixes of the full width end as neighbours in their bucket. Names are 64-bit hashes instead of ranks,
-    which makes the recursion needless: it would order suffixes beyond the width that is asked.
+    Suffixes that start in the difference cover are named by the hash of their first bytes; names are sorted and compared with
+    their neighbours, and only what lies within reach of a repeated name is looked at further, by the hash of the whole width,
+    sorted and compared likewise. Names are 64-bit hashes of any width instead of ranks of triples, so there is no
+    recursion, and no order of suffixes beyond equality: this departs from the named method (README).
     """
     if width < 8:
         raise ValueError("width must be 8 or more")
