@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,12 @@ def drop(*frames: DataFrame | None) -> None:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more: they would stay until the driver's next collection."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of frames that nothing refers to any more: they would stay until the driver's next collection.
+    Python's references go first, and the JVM learns of them with some delay, so it collects twice."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:
