@@ -13,7 +13,7 @@ from kinlink.llm.seqhash import Chunk, chunks, keyed, mix, roll, starts, unkeyed
 
 #: The three edges of a suffix's path: bits of each, the first on top. Edges end after EDGES words and at the width.
 BITS, EDGES = (20, 20, 24), (3, 12)
-CELL_BITS = 16
+CELL_BITS, SLICES = 16, 32
 
 
 def word_cover(width: int = 50) -> Cover:
@@ -71,15 +71,16 @@ def prefix_lengths(docs: DataFrame, width: int, group: int = 1 << 19) -> np.ndar
             one += np.bincount((first >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
             second = r.window(prefix, at + EDGES[0], at + EDGES[1])
             two += np.bincount((mix(first >> np.uint64(44) ^ second << np.uint64(20)) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([one.tobytes(), two.tobytes()])], ["level", "counts"])
+        parts = [x.tobytes() for x in np.split(np.concatenate([one, two]), 2 * SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["part", "counts"])
 
     def add(key, table):
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()).tobytes()])], names=["level", "counts"])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()).tobytes()])], names=["part", "counts"])
 
-    tables = docs.mapInArrow(count, "level int, counts binary")
-    got = {r["level"]: np.frombuffer(r["counts"], np.int64) for r in tables.groupBy("level").applyInArrow(add, "level int, counts binary").collect()}
-    one = got.get(0, np.zeros(cells, np.int64))
-    crowded = bool((got.get(1, one) > group).any())
+    tables = docs.mapInArrow(count, "part int, counts binary")
+    got = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in tables.groupBy("part").applyInArrow(add, "part int, counts binary").collect()}
+    one, two = np.split(np.concatenate([got.get(i, np.zeros(cells // SLICES, np.int64)) for i in range(2 * SLICES)]), 2)
+    crowded = bool((two > group).any())
     return np.where(one <= group, 1, 3 if crowded else 2).astype(np.int8)
 
 
