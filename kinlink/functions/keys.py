@@ -130,3 +130,19 @@ def number_prefix(a: Column, b: Column) -> Column:
     """1 if some number of a equals, begins or continues one of b, else 0; -1 where a side has none. a, b: arrays of strings."""
     meet = F.exists(a, lambda x: F.exists(b, lambda y: x.startswith(y) | y.startswith(x)))
     return F.when((F.size(a) < 1) | (F.size(b) < 1), -1.0).otherwise(meet.cast("double"))
+
+
+#: The syllables that invented words are tiled from.
+MORPHEMES = "arc aria avi belo brix calo cira delta dova drex ecto evo faye flux gild halo iri jax kelo kor lum lyra mira nex novi nyla onyx orbi pyra quo riza sol syn tavo umbra vantage veo vera vio wex xylo yuma zeta zeph".split()
+
+
+def tiled(c: Column) -> Column:
+    """Whether the letters of a one-word name are syllables throughout."""
+    return F.regexp_replace(F.lower(c), "[^a-z]", "").rlike("^(" + "|".join(MORPHEMES) + ")+$")
+
+
+def house(c: Column) -> Column:
+    """The first number without leading zeros, with bis, ter or a letter behind it."""
+    pattern = r"(?<![\d/])0*(\d+)(?:\s*(bis|ter|[a-h](?![a-z])))?"
+    tail = F.regexp_extract(c, pattern, 2)
+    return F.concat(F.regexp_extract(c, pattern, 1), F.when(tail == "b", "bis").when(tail == "t", "ter").otherwise(tail))

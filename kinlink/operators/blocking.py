@@ -14,11 +14,20 @@ def precheck(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = 200, pairs: int = 40_000) -> DataFrame:
-    """Inner join on keys frequent at most `most` times on a side and with at most `pairs` products: the cap is the operator's meaning."""
+    """Inner join on keys frequent at most `most` times on a side and with at most `pairs` products: the cap is the operator's meaning.
+    Rows with a null or empty key join nothing."""
+    for k in keys:
+        left, right = [x.where((F.col(k).cast("string") != "") & F.col(k).isNotNull()) for x in (left, right)]
     ok = precheck(left, right, keys).where((F.col("n_left") <= most) & (F.col("n_right") <= most) & (F.col("pairs") <= pairs)).select(*keys)
     return left.join(ok, keys, "left_semi").join(right, keys).distinct()
 
 
+def unique_join(left: DataFrame, right: DataFrame, keys: list[str], ref: str = "ref") -> DataFrame:
+    """right with the one ref of left that has the same key; keys that two rows of left have join nothing, and neither do null ones."""
+    own = left.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(ref).alias(ref)).where("_n = 1").drop("_n")
+    return own.join(right, keys)
+
+
 def term_weights(terms: DataFrame, docs: DataFrame, min_max_df: int = 1000, share: float = 0.005) -> DataFrame:
     """terms(country, id, term, tf) to (country, id, term, df, idf, keep, weight): smoothed idf, L2 norm over all terms, then the
     cap. Document frequencies come back by a join on the term, so a frequent term is summed before it is shuffled."""

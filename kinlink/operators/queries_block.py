@@ -28,6 +28,10 @@ def records(spark, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("src"), F.col("p_type").alias("country"), T.clean_ascii(F.col("p_name")).alias("name"), T.clean_ascii(F.concat_ws(" ", "p_brand", "p_type", F.col("p_size").cast("string"))).alias("address"))
 
 
+def _list(words) -> str:
+    return "(" + ",".join(f"'{w}'" for w in words) + ")"
+
+
 C = lambda x: f"trim(regexp_replace(lower(replace({x},'&',' and ')),'[^a-z0-9]+',' ','g'))"
 R = f"with r as (select p_partkey id, p_partkey%3 src, p_type country, {C('p_name')} name, {C('concat_ws(chr(32),p_brand,p_type,p_size::varchar)')} address from part)"
 TOK = "list_filter(string_split({},' '), lambda w: w<>'')"
@@ -39,7 +43,14 @@ def tx02_clean_ascii(spark, d):
     return records(spark, d).select("id", "name", "address")
 
 
-@query(R + f" select id, list_filter({TOK.format('name')}, lambda w: length(w)>1 and w not in ('inc','llc','ltd','co','corp','corporation','company','limited','plc','gmbh','sarl','sas','sa','pvt','private','llp','lp'))::varchar[] .array_to_string(' ') core, replace(name,' ','') compact from r")
+@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(nfc_normalize(lower(translate(text,'ÀÂÄÁÃÅÇÈÊËÉÌÎÏÍÑÒÔÖÓÕÙÛÜÚÝàâäáãåçèêëéìîïíñòôöóõùûüúýÿ','AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'))),'[\u0300-\u036f]','','g')),'[''’]','','g'),'[^0-9A-Za-z_ß]+',' ','g'))) plain_md5 from documents where regexp_full_match(text,'[\x00-\x7FÀ-ÿ]*','s')")
+def tx02_basic_clean(spark, d):
+    """Texts of ASCII and Latin-1 letters, which SQL can fold; tx01 covers all texts."""
+    t = spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike(r"(?s)^[\x00-\x7FÀ-ÿ]*$"))
+    return t.select("doc_id", F.md5(T.basic_clean(F.col("text"))).alias("plain_md5"))
+
+
+@query(R + f" select id, list_filter({TOK.format('name')}, lambda w: length(w)>1 and w not in {_list(T.SUFFIXES)})::varchar[] .array_to_string(' ') core, replace(name,' ','') compact from r")
 def tx04_name_parts(spark, d):
     return records(spark, d).select("id", F.array_join(T.core_tokens(F.col("name")), " ").alias("core"), F.replace("name", F.lit(" "), F.lit("")).alias("compact"))
 
@@ -49,14 +60,14 @@ def tx05_address_parts(spark, d):
     return records(spark, d).select("id", F.array_join(T.numbers(F.col("address")), " ").alias("numbers"), (F.length("address") == 0).alias("missing"))
 
 
-@query(R + f" select id, array_to_string(list_sort(list_filter(list_distinct({TOK.format('name')}), lambda w: w not in ('the','of','and','a','an','de','la','le'))),' ') k from r")
+@query(R + f" select id, array_to_string(list_sort(list_filter(list_distinct({TOK.format('name')}), lambda w: w not in {_list(T.STOP)})),' ') k from r")
 def tx13_name_key(spark, d):
     return records(spark, d).select("id", T.name_key(F.col("name")).alias("k"))
 
 
-@query(R + ", w as (select id, unnest(string_split(name,' ')) w from r), g as (select id, ' '||w||' ' p from w), x as (select id, unnest(list_transform(range(1, greatest(2, length(p)-3+2)), lambda i: substr(p,i,3))) gram from g) select id, gram, count(*) tf from x group by 1,2")
+@query(R + ", w as (select id, ' '||unnest(string_split(name,' '))||' ' p from r), x as (select id, unnest(flatten(list_transform([2,3,4], lambda n: list_transform(range(1, greatest(1, length(p)-n+1)+1), lambda i: substr(p,i,n))))) gram from w) select id, gram, count(*) tf from x group by 1,2")
 def tx16_grams(spark, d):
-    return records(spark, d).select("id", F.explode(T.grams(F.col("name"), 3, 3)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    return records(spark, d).select("id", F.explode(T.grams(F.col("name"), 2, 4)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
 @query("select page_id, regexp_replace(translate(lower(url),'0134568@$','oleasgbas'),'[^a-z]','','g') k from pages")
@@ -130,11 +141,10 @@ def sm10_len_ratio(spark, d):
     return pairs(spark, d).select("ref", "tgt", F.round(F.least(a, b) / F.greatest(a, b), 6).alias("len_ratio"))
 
 
-@query(P + ", n as (select ref, tgt, regexp_extract_all(a1,'[0-9]+')[-1]::bigint x, regexp_extract_all(a2,'[0-9]+')[-1]::bigint y from pr) select ref, tgt, case when x=y then 'same' when y-x between 1 and 13 then 'up_k' when x-y between 1 and 13 then 'down_small' else 'far' end shift from n")
+@query(P + ", n as (select ref, tgt, regexp_extract_all(a1,'[0-9]+')[-1] a, regexp_extract_all(a2,'[0-9]+')[-1] b from pr) select ref, tgt, case when a=b then 'same' when length(a)<>length(b) and (suffix(a,b) or suffix(b,a) or starts_with(a,b) or starts_with(b,a)) then 'digit_drop' when b::bigint-a::bigint between 1 and 21 then 'up_'||(b::bigint-a::bigint) when a::bigint-b::bigint between 1 and 21 then 'down_small' else 'far' end shift from n")
 def sm13_shift(spark, d):
-    last = lambda c: F.try_element_at(F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0)), F.lit(-1)).cast("long")
-    k = last("a2") - last("a1")
-    return pairs(spark, d).select("ref", "tgt", F.when(k == 0, "same").when(k.between(1, 13), "up_k").when(k.between(-13, -1), "down_small").otherwise("far").alias("shift"))
+    last = lambda c: F.try_element_at(F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0)), F.lit(-1))
+    return pairs(spark, d).select("ref", "tgt", T.number_shift(last("a1"), last("a2")).alias("shift"))
 
 
 JB = ", a as (select country, {k} k, count(*) n from r where src=0 group by 1,2), b as (select country, {k} k, count(*) n from r where src=1 group by 1,2), ok as (select country, k, a.n n_left, b.n n_right, a.n*b.n pairs from a join b using (country,k))"
@@ -170,9 +180,9 @@ def jn04_first_token(spark, d):
     return B.bounded_join(*_sides(spark, d, F.split("name", " ")[0]), ["country", "k"])
 
 
-@query(R + ", t as (select distinct country, src, id, unnest(string_split(name,' ')) k from r), a as (select country,k,count(*) n from t where src=0 group by 1,2), b as (select country,k,count(*) n from t where src=1 group by 1,2), ok as (select country,k from a join b using(country,k) where a.n<=200 and b.n<=200 and a.n*b.n<=40000) select distinct x.country, x.k, x.id ref, y.id tgt from t x join t y using(country,k) join ok using(country,k) where x.src=0 and y.src=1")
+@query(R + ", t as (select distinct country, src, id, unnest(list_filter(string_split(name,' '), lambda w: length(w)>1 and w not in SUFFIXES)) k from r), a as (select country,k,count(*) n from t where src=0 group by 1,2), b as (select country,k,count(*) n from t where src=1 group by 1,2), ok as (select country,k from a join b using(country,k) where a.n<=200 and b.n<=200 and a.n*b.n<=40000) select distinct x.country, x.k, x.id ref, y.id tgt from t x join t y using(country,k) join ok using(country,k) where x.src=0 and y.src=1".replace("SUFFIXES", _list(T.SUFFIXES)))
 def jn05_token(spark, d):
-    t = records(spark, d).select("country", "src", "id", F.explode(F.array_distinct(T.tokens(F.col("name")))).alias("k"))
+    t = records(spark, d).select("country", "src", "id", F.explode(F.array_distinct(T.core_tokens(F.col("name")))).alias("k"))
     return B.bounded_join(t.where("src = 0").select("country", "k", F.col("id").alias("ref")), t.where("src = 1").select("country", "k", F.col("id").alias("tgt")), ["country", "k"])
 
 
@@ -223,17 +233,23 @@ def jn13_reverse(spark, d):
     return B.topk_join(w.where("id % 3 = 1"), w.where("id % 3 = 0"), 3).select(F.col("ref").alias("tgt"), F.col("tgt").alias("ref"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(R + f", a as (select country, id ref, {FIRST} k from r where src=0), b as (select country, id tgt, {FIRST} k from r where src=2), u as (select country,k,min(ref) ref from a group by 1,2 having count(*)=1) select u.ref, b.tgt from u join b using(country,k)")
+KEY5 = "name||' '||(regexp_extract(address,'[0-9]+$')::int%5)"
+
+
+def _key5():
+    return F.concat_ws(" ", "name", (F.regexp_extract("address", "[0-9]+$", 0).cast("int") % 5).cast("string"))
+
+
+@query(R + f", k as (select *, {KEY5} k from r), u as (select country,k,min(id) ref from k where src=0 group by 1,2 having count(*)=1) select u.ref, b.id tgt from u join k b using(country,k) where b.src=2")
 def jn20_unique_key(spark, d):
-    r = records(spark, d).withColumn("k", F.split("name", " ")[0])
-    own = r.where("src = 0").groupBy("country", "k").agg(F.count("*").alias("n"), F.min("id").alias("ref")).where("n = 1")
-    return own.join(r.where("src = 2").select("country", "k", F.col("id").alias("tgt")), ["country", "k"]).select("ref", "tgt")
+    r = records(spark, d).withColumn("k", _key5())
+    return B.unique_join(r.where("src = 0").withColumnRenamed("id", "ref"), r.where("src = 2").select("country", "k", F.col("id").alias("tgt")), ["country", "k"]).select("ref", "tgt")
 
 
-@query(R + " select id, name from r where src=1 and name not in (select name from r where src=0)")
+@query(R + f", k as (select *, {KEY5} k from r) select id, name from k where src=1 and (country, k) not in (select (country, k) from k where src=0)")
 def jn24_anti(spark, d):
-    r = records(spark, d)
-    return r.where("src = 1").join(r.where("src = 0").select("name"), "name", "left_anti").select("id", "name")
+    r = records(spark, d).withColumn("k", _key5())
+    return r.where("src = 1").join(r.where("src = 0").select("country", "k"), ["country", "k"], "left_anti").select("id", "name")
 
 
 @query("with e as (select vec_id, label, embedding::double[] v from embeddings), s as (select a.vec_id ref, b.vec_id tgt, list_inner_product(a.v,b.v)/sqrt(list_inner_product(a.v,a.v)*list_inner_product(b.v,b.v)) c from e a join e b on a.label=b.label where a.vec_id%50=0 and a.vec_id<>b.vec_id), k as (select *, row_number() over(partition by ref order by round(c,9) desc, tgt) rank from s) select ref, tgt, round(c,5) cos, rank from k where rank<=10")

@@ -108,13 +108,13 @@ def tx20_anchors(spark, d):
     return _each(spark, d, k=F.array_join(K.anchors(F.col(ADDRESS)), " ")).where("k <> ''")
 
 
-@query(N + ", df as (select w, count(*) df from (select distinct id, unnest(t) w from n where src=0) group by 1 having count(*)<3000), e as (select id, n[1] num, unnest(list_distinct(t)) w from n where len(n)>0 and n[1]<>'0') select id, num||'|'||w k from e join df using (w) where " + WORD.format("w"))
+@query(N + ", df as (select w, count(*) df from (select distinct id, unnest(t) w from n where src=0) group by 1 having count(*)<3000), e as (select id, n[1] num, unnest(list_distinct(t)) w from n where len(n)>0 and n[1]<>'0') select id, num||'|'||w k from e join df using (w) where " + WORD.format("w") + f" and w not in {_list(T.GENERIC)}")
 def tx21_rare_word_keys(spark, d):
     """First number with each street word that few records of the first source have; the word table is joined, not collected."""
     r = records(spark, d).withColumn("num", F.get(K.number_tokens(F.col(ADDRESS)), F.lit(0)))
     words = r.select("id", "src", "num", F.explode(F.array_distinct(T.tokens(F.col(ADDRESS)))).alias("w"))
     rare = words.where("src = 0").groupBy("w").agg(F.count("*").alias("df")).where("df < 3000")
-    return words.where((F.col("num") != "0") & K.is_word(F.col("w"))).join(rare, "w").select("id", F.concat_ws("|", "num", "w").alias("k"))
+    return words.where((F.col("num") != "0") & K.is_word(F.col("w")) & ~F.col("w").isin(*T.GENERIC)).join(rare, "w").select("id", F.concat_ws("|", "num", "w").alias("k"))
 
 
 @query(N + f" select id, concat_ws('|', n[1], array_to_string(list_sort(list_distinct(list_filter(t, lambda w: {WORD.format('w')})))[1:6],' ')) k from n")

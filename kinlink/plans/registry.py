@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("kinlink.operators.queries_decide", "kinlink.operators.queries_block", "kinlink.operators.queries_text")
+MODULES: tuple[str, ...] = ("kinlink.operators.queries_decide", "kinlink.operators.queries_block", "kinlink.operators.queries_text", "kinlink.operators.queries_candidates", "kinlink.operators.queries_sources", "kinlink.operators.queries_reports")
 
 
 def queries() -> dict:
