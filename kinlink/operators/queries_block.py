@@ -43,7 +43,7 @@ def tx02_clean_ascii(spark, d):
     return records(spark, d).select("id", "name", "address")
 
 
-@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(nfc_normalize(lower(translate(text,'ÀÂÄÁÃÅÇÈÊËÉÌÎÏÍÑÒÔÖÓÕÙÛÜÚÝàâäáãåçèêëéìîïíñòôöóõùûüúýÿ','AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'))),'[\u0300-\u036f]','','g')),'[''’]','','g'),'[^0-9A-Za-z_ß]+',' ','g'))) plain_md5 from documents where regexp_full_match(text,'[\x00-\x7FÀ-ÿ]*','s')")
+@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(nfc_normalize(lower(translate(text,'ÀÂÄÁÃÅÇÈÊËÉÌÎÏÍÑÒÔÖÓÕÙÛÜÚÝàâäáãåçèêëéìîïíñòôöóõùûüúýÿ','AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'))),'[\x{0300}-\x{036f}]','','g')),'[''’]','','g'),'[^0-9A-Za-z_ß]+',' ','g'))) plain_md5 from documents where regexp_full_match(text,'[\x00-\x7FÀ-ÿ]*','s')")
 def tx02_basic_clean(spark, d):
     """Texts of ASCII and Latin-1 letters, which SQL can fold; tx01 covers all texts."""
     t = spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike(r"(?s)^[\x00-\x7FÀ-ÿ]*$"))

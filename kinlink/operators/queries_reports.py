@@ -189,7 +189,7 @@ def an19_country_gap(spark, d):
     return m.groupBy("country").agg(F.count("*").alias("refs"), n_of(F.col("links") == 0).alias("empty"), F.round(F.avg("links"), 6).alias("mean_links"), F.round(F.sum("mass"), 3).alias("mass"))
 
 
-@query(T + ", s as (select tgt, sum(p) m, count(*) n from t group by 1) select least(floor(m/5),9)::int band, count(*) targets, sum(n)::bigint claims from s group by 1")
+@query(T + ", s as (select tgt, sum(round(p,3)::decimal(12,3))::double m, count(*) n from t group by 1) select least(floor(m/5),9)::int band, count(*) targets, sum(n)::bigint claims from s group by 1")
 def an22_overcommit(spark, d):
     s = lists(spark, d).groupBy("tgt").agg(F.sum(F.round("p", 3).cast("decimal(12,3)")).alias("m"), F.count("*").alias("n"))
     return s.groupBy(F.least(F.floor(F.col("m") / 5), F.lit(9)).cast("int").alias("band")).agg(F.count("*").alias("targets"), F.sum("n").alias("claims"))
@@ -237,20 +237,20 @@ def an43_country_expectation(spark, d):
     return m.select("country", F.round(1.25 * F.col("c") / (0.25 * F.col("s") + F.col("n")), 6).alias("expected"), F.round("s", 3).alias("mass"))
 
 
-@query(P + ", w as (select (ref+tgt)%3=0 rejected, unnest(list_filter(list_distinct(string_split(n2,' ')), lambda w: not list_contains(string_split(n1,' '),w))) w from pr), c as (select w, sum(rejected::int)::double r, sum((not rejected)::int)::double a from w group by 1), s as (select sum(r) r, sum(a) a from c) select w, c.r::bigint rejected, c.a::bigint accepted, round((c.r/s.r)/((c.a+1)/s.a),6) lift from c, s")
+@query(P + ", w as (select ((ref+tgt)//3)%3=0 rejected, unnest(list_filter(list_distinct(string_split(n2,' ')), lambda w: not list_contains(string_split(n1,' '),w))) w from pr), c as (select w, sum(rejected::int)::double r, sum((not rejected)::int)::double a from w group by 1), s as (select sum(r) r, sum(a) a from c) select w, c.r::bigint rejected, c.a::bigint accepted, round((c.r/s.r)/((c.a+1)/s.a),6) lift from c, s")
 def an46_token_lift(spark, d):
     """Words that only the record has: their share among rejected pairs over that among accepted ones."""
-    x = pairs(spark, d).select(((F.col("ref") + F.col("tgt")) % 3 == 0).alias("rejected"), F.explode(F.array_except(F.split("n2", " "), F.split("n1", " "))).alias("w"))
+    x = pairs(spark, d).select((F.floor((F.col("ref") + F.col("tgt")) / 3) % 3 == 0).alias("rejected"), F.explode(F.array_except(F.split("n2", " "), F.split("n1", " "))).alias("w"))
     c = x.groupBy("w").agg(n_of(F.col("rejected")).alias("rejected"), n_of(~F.col("rejected")).alias("accepted"))
     s = c.agg(F.sum("rejected").cast("double").alias("r"), F.sum("accepted").cast("double").alias("a"))
     return c.join(F.broadcast(s)).select("w", "rejected", "accepted", F.round((F.col("rejected") / F.col("r")) / ((F.col("accepted") + 1) / F.col("a")), 6).alias("lift"))
 
 
-@query(P + ", w as (select string_split(n1,' ')[2]=string_split(n2,' ')[2] same, abs(regexp_extract_all(a1,'[0-9]+')[-1]::bigint-regexp_extract_all(a2,'[0-9]+')[-1]::bigint) d, (ref+tgt)%3<>0 accepted from pr) select same, case when d=0 then 'same' when d<=21 then 'near' else 'far' end number, count(*) n, round(avg(accepted::int),6) rate from w group by 1,2")
+@query(P + ", w as (select string_split(n1,' ')[2]=string_split(n2,' ')[2] same, abs(regexp_extract_all(a1,'[0-9]+')[-1]::bigint-regexp_extract_all(a2,'[0-9]+')[-1]::bigint) d, ((ref+tgt)//3)%3<>0 accepted from pr) select same, case when d=0 then 'same' when d<=21 then 'near' else 'far' end number, count(*) n, round(avg(accepted::int),6) rate from w group by 1,2")
 def an47_number_difference(spark, d):
     second = lambda c: F.get(F.split(c, " "), F.lit(1))
     gap = F.abs(F.regexp_extract("a1", "[0-9]+$", 0).cast("long") - F.regexp_extract("a2", "[0-9]+$", 0).cast("long"))
-    x = pairs(spark, d).select((second("n1") == second("n2")).alias("same"), F.when(gap == 0, "same").when(gap <= 21, "near").otherwise("far").alias("number"), ((F.col("ref") + F.col("tgt")) % 3 != 0).cast("int").alias("ok"))
+    x = pairs(spark, d).select((second("n1") == second("n2")).alias("same"), F.when(gap == 0, "same").when(gap <= 21, "near").otherwise("far").alias("number"), (F.floor((F.col("ref") + F.col("tgt")) / 3) % 3 != 0).cast("int").alias("ok"))
     return x.groupBy("same", "number").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("rate"))
 
 
