@@ -251,16 +251,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: floa
     return out.select(unkeyed(), "item_id", "first_word", "edits", "item_chars")
 
 
+def _clean(index: Index):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        bad = np.zeros(len(text), bool)
+        bad[[d for d, *_ in index.search(Chunk(list(range(len(text))), [(x or "").encode() for x in text.fillna("")]))]] = True
+        return pd.Series(~bad)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.95, block_bytes: int = 16 << 20) -> DataFrame:
     """docs, with all their columns, without the rows whose text holds an item. Each row is judged by its own text, whatever its id."""
     for index in _blocks(benchmark, rate, recall, block_bytes):
-
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, index=index) -> pd.Series:
-            c = Chunk(list(range(len(text))), [(x or "").encode() for x in text.fillna("")])
-            bad = np.zeros(len(text), bool)
-            bad[[d for d, *_ in index.search(c)]] = True
-            return pd.Series(~bad)
-
-        docs = docs.where(clean(docs["text"].cast("string")))
+        docs = docs.where(_clean(index)(docs["text"].cast("string")))
     return docs

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.gbt import Boosted, Isotonic, calibrated
-from kinlink.llm.seqhash import chunks, keyed, unkeyed
+from kinlink.llm.seqhash import NO_ID, chunks, keyed, unkeyed
 from kinlink.plans.scratch import materialize
 
 #: A seed list of insults, and second-person forms of four languages.
@@ -76,7 +76,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, row
 
 def held_out(doc_id, parts: int, part: int) -> F.Column:
     """crc32 of the id as text, modulo parts, is part; a null id is not."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
+    return F.coalesce((F.col(doc_id) != NO_ID) & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part), F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, held: F.Column, rows: int = 20_000, words: int = 5_000) -> ToxicityModel:
