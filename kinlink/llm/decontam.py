@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.seqhash import _LOWER, Chunk, chunks, keyed, member, unkeyed
+from kinlink.llm.seqhash import _LOWER, CHUNK, Chunk, chunks, keyed, member, unkeyed
 
 _BREAK = np.ones(256, bool)
 _BREAK[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = False
@@ -254,8 +254,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: floa
 def _clean(index: Index):
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
-        bad = np.zeros(len(text), bool)
-        bad[[d for d, *_ in index.search(Chunk(list(range(len(text))), [(x or "").encode() for x in text.fillna("")]))]] = True
+        texts = [x.encode() for x in text.fillna("")]
+        bad, low = np.zeros(len(texts), bool), 0
+        # a batch may hold very many bytes: some at a time
+        size = np.cumsum([len(x) for x in texts])
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + CHUNK)))
+            bad[[low + d for d, *_ in index.search(Chunk(list(range(high - low)), texts[low:high]))]] = True
+            low = high
         return pd.Series(~bad)
 
     return clean

@@ -18,7 +18,7 @@ from kinlink.plans.scratch import input_bytes
 
 #: Stands for a null id; it sorts before every other id.
 NO_ID = -(2**63)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BLOB = "bucket long, docs binary, counts binary, keys binary"
 #: A group sends to so many others at most; more buckets than that are reached over several exchanges.
 RADIX = 1024
