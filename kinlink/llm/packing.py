@@ -22,7 +22,7 @@ class WordIds(dict):
     tokenizer. A full cache becomes the old one, from which words in use come back, and the one that was old goes: memory does not
     follow the vocabulary of the corpus, and common words stay."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tk, self.limit = Tokenizer.from_file(path), limit
