@@ -1,5 +1,6 @@
 """Operator 7: a log-bilinear language model trained by noise-contrastive estimation, beside an add-one unigram base."""
 
+import math
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.seqhash import BLOB, NO_ID, Chunk, bucket_count, chunks, keyed, mix, unkeyed
 from kinlink.llm.toxicity import held_out
-from kinlink.plans.scratch import materialize
+from kinlink.plans.scratch import input_bytes, materialize
 
 UNKNOWN, END = 0, 1
 
@@ -19,63 +20,115 @@ def _held(doc: int) -> bool:
 
 
 class LogBilinear:
-    """P(w | h) is proportional to exp(q_w . sum_i C_i r_{h_i} + b_w) over `classes` classes and two words of context."""
+    """P(w | h) = P(class of w | h) P(w | its class, h), both log-bilinear in z = sum_i C_i r_{h_i}; word w has class isqrt(w), so class k
+    holds the 2k + 1 words from k^2 on and a probability takes about three square roots of the vocabulary of dot products.
 
-    def __init__(self, classes: int, dim: int = 16, context: int = 2, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.n, self.context = classes, context
-        self.p = {"r": rng.normal(0, 0.1, (classes, dim)), "q": rng.normal(0, 0.1, (classes, dim)), "c": np.stack([np.eye(dim)] * context), "b": np.zeros(classes)}
+    All parameters are rows of one matrix, so that training can run on many parts of the corpus and average by row: context vectors r,
+    word vectors q and class vectors with their bias last, and the matrices C_i by rows."""
 
-    def hidden(self, h: np.ndarray) -> np.ndarray:
-        return sum(self.p["r"][h[:, i]] @ self.p["c"][i] for i in range(self.context))
-
-    def fit(self, cells: np.ndarray, counts: np.ndarray, steps: int = 500, batch: int = 4096, noise: int = 8, rate: float = 0.02, seed: int = 7) -> "LogBilinear":
-        """cells: (context..., word) with their corpus counts. Each true word is told from noise words of the unigram."""
-        if not len(counts):
-            return self
-        rng, total = np.random.default_rng(seed), counts.sum()
-        unigram = np.bincount(cells[:, -1], counts, self.n) + 0.5
-        unigram /= unigram.sum()
-        self.p["b"] = np.log(unigram)
-        edge, noise_edge, log_noise = np.cumsum(counts) / total, np.cumsum(unigram), np.log(noise * unigram)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, steps + 1):
-            own = cells[np.minimum(np.searchsorted(edge, rng.random(batch)), len(cells) - 1)]
-            h = own[:, :-1]
-            w = np.concatenate([own[:, -1:], np.minimum(np.searchsorted(noise_edge, rng.random((batch, noise))), self.n - 1)], 1)
-            z = self.hidden(h)
-            q = self.p["q"][w]
-            s = np.einsum("bd,bkd->bk", z, q) + self.p["b"][w]
-            d = -1 / (1 + np.exp(-(s - log_noise[w])))
-            d[:, 0] += 1  # true word: 1 - sigmoid
-            d /= batch
-            hot = np.zeros((batch, self.n))
-            np.add.at(hot, (np.repeat(np.arange(batch), noise + 1), w.ravel()), d.ravel())
-            dz = hot @ self.p["q"]
-            grad = {"q": hot.T @ z, "b": hot.sum(0), "r": np.zeros_like(self.p["r"]), "c": np.zeros_like(self.p["c"])}
-            for i in range(self.context):
-                one = np.zeros((batch, self.n))
-                one[np.arange(batch), h[:, i]] = 1
-                grad["r"] += one.T @ (dz @ self.p["c"][i].T)
-                grad["c"][i] = self.p["r"][h[:, i]].T @ dz
-            now = rate * (1 - step / (steps + 1))
-            for k in self.p:
-                m[k] = 0.9 * m[k] + 0.1 * grad[k]
-                v2[k] = 0.99 * v2[k] + 0.01 * grad[k] ** 2
-                self.p[k] = self.p[k] + now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)
+    def __init__(self, words: int, dim: int = 16, context: int = 2, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.n, self.dim, self.context = words, dim, context
+        self.klass = np.array([math.isqrt(w) for w in range(words)], np.int64)
+        self.classes = int(self.klass[-1]) + 1
+        self.first = np.arange(self.classes + 1) ** 2
+        self.first[-1] = words
+        p = np.zeros((2 * words + self.classes + context * dim, dim + 1), np.float32)
+        p[: -context * dim, :dim] = rng.normal(0, 0.1, (len(p) - context * dim, dim))
+        for i in range(context):
+            p[len(p) - (context - i) * dim :][:dim, :dim] = np.eye(dim)
+        self.use(p)
+
+    def use(self, p: np.ndarray) -> "LogBilinear":
+        n, d = self.n, self.dim
+        self.p = p
+        self.r, self.q, self.b = p[:n, :d], p[n : 2 * n, :d], p[n : 2 * n, d]
+        self.qc, self.bc = p[2 * n : 2 * n + self.classes, :d], p[2 * n : 2 * n + self.classes, d]
+        self.c = [p[2 * n + self.classes + i * d :][:d, :d] for i in range(self.context)]
         return self
 
-    def table(self) -> np.ndarray:
-        """log10 P of every class after every context, from one matrix product per block of contexts."""
-        h = np.stack(np.meshgrid(*[np.arange(self.n)] * self.context, indexing="ij"), -1).reshape(-1, self.context)
-        s = self.hidden(h) @ self.p["q"].T + self.p["b"]
-        s -= s.max(1, keepdims=True)
-        return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
+    def unigram(self, counts: np.ndarray) -> "LogBilinear":
+        """Noise follows the corpus counts of the words; biases start there, so an untrained model is the unigram."""
+        u = counts + 0.5
+        self.u, self.edge = u / u.sum(), np.cumsum(u / u.sum())
+        self.uc = np.bincount(self.klass, self.u)
+        self.low, self.high = np.concatenate([[0], self.edge])[self.first[:-1]], self.edge[self.first[1:] - 1]
+        self.log_u, self.log_uc = np.log(self.u / self.uc[self.klass]).astype(np.float32), np.log(self.uc).astype(np.float32)
+        return self
 
+    def start(self) -> "LogBilinear":
+        self.b[:], self.bc[:] = self.log_u, self.log_uc
+        return self
 
-def _classes(c: Chunk, head: np.ndarray, klass: np.ndarray):
-    """Word hashes, document of each word, place in head (-1: none), and the class stream with two ends before and one after each text."""
+    def hidden(self, h: np.ndarray) -> np.ndarray:
+        return sum(self.r[h[:, i]] @ self.c[i] for i in range(self.context))
+
+    def step(self, h: np.ndarray, w: np.ndarray, state: np.ndarray, seen: np.ndarray, rng: np.random.Generator, rate: float, noise: int = 4, class_noise: int = 32) -> None:
+        """One Adagrad step on contexts h and words w. The true class is told from classes of the unigram, which the batch shares, the true
+        word from words of its class. seen counts the rows that contexts and true words use."""
+        n, d, m = self.n, self.dim, len(w)
+        k, z = self.klass[w], self.hidden(h)
+        other = np.minimum(np.searchsorted(np.cumsum(self.uc), rng.random(class_noise)), self.classes - 1)
+
+        def told(s, log_noise):
+            return 1 / (1 + np.exp(np.clip(log_noise - s, -30, 30)))
+
+        own = (1 - told(np.einsum("bd,bd->b", z, self.qc[k]) + self.bc[k], self.log_uc[k] + np.float32(np.log(class_noise)))) / m
+        rest = -told(z @ self.qc[other].T + self.bc[other], self.log_uc[other] + np.float32(np.log(class_noise))) / m
+        dz = own[:, None] * self.qc[k] + rest @ self.qc[other]
+        words = np.concatenate([w[:, None], np.minimum(np.searchsorted(self.edge, self.low[k, None] + rng.random((m, noise)) * (self.high - self.low)[k, None]), n - 1)], 1)
+        # a draw at the very edge may fall into the next class
+        words = np.clip(words, self.first[k, None], self.first[k + 1, None] - 1)
+        q = self.q[words]
+        dw = -told(np.einsum("bd,bkd->bk", z, q) + self.b[words], self.log_u[words] + np.float32(np.log(noise))) / m
+        dw[:, 0] += 1 / m
+        dz += np.einsum("bk,bkd->bd", dw, q)
+        grad = np.zeros((len(self.p), d + 1))
+        flat, at = words.ravel(), 2 * n + self.classes
+        spread = (dw[:, :, None] * z[:, None, :]).reshape(-1, d)
+        back = [dz @ c.T for c in self.c]
+        mine = own[:, None] * z
+        for j in range(d):
+            grad[n : 2 * n, j] = np.bincount(flat, spread[:, j], n)
+            grad[2 * n : at, j] = np.bincount(k, mine[:, j], self.classes)
+            grad[:n, j] = np.bincount(h.T.ravel(), np.concatenate([x[:, j] for x in back]), n)
+        grad[n : 2 * n, d] = np.bincount(flat, dw.ravel(), n)
+        grad[2 * n : at, d] = np.bincount(k, own, self.classes)
+        np.add.at(grad[2 * n : at, :d], other, rest.T @ z)
+        np.add.at(grad[2 * n : at, d], other, rest.sum(0))
+        for i in range(self.context):
+            grad[at + i * d :][:d, :d] = self.r[h[:, i]].T @ dz
+        state += grad * grad
+        self.p += (rate * grad / np.sqrt(state)).astype(np.float32)
+        seen[:n] += np.bincount(h.ravel(), minlength=n)
+        seen[n : 2 * n] += np.bincount(w, minlength=n)
+        seen[2 * n : at] += np.bincount(k, minlength=self.classes)
+        seen[at:] += m
+
+    def log10(self, h: np.ndarray, w: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        """log10 P(w | h), normalised: one matrix product over the classes, and one for the words of each class that occurs."""
+        out = np.zeros(len(w))
+
+        def normal(s, at):
+            top = s.max(1)
+            return s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(1))
+
+        order = np.argsort(self.klass[w], kind="stable")
+        for i in range(0, len(w), block):
+            o = order[i : i + block]
+            z, k = self.hidden(h[o]), self.klass[w[o]]
+            out[o] = normal(z @ self.qc.T + self.bc, k)
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(k)], strict=True):
+                x = slice(self.first[k[a]], self.first[k[a] + 1])
+                if x.stop - x.start > 1:
+                    out[o[a:b]] += normal(z[a:b] @ self.q[x].T + self.b[x], w[o[a:b]] - x.start)
+        return out / np.log(10)
+
+
+def _stream(c: Chunk, head: np.ndarray, number_of: np.ndarray):
+    """Word hashes, document of each word, place in head (-1: none), the words' numbers in the model with two ends before and one after
+    each text, and where in these the tokens are."""
     h, _, _, bounds = c.words(lower=True)
     at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
     place = np.where(head[at] == h, at, -1) if len(head) else np.full(len(h), -1)
@@ -83,7 +136,7 @@ def _classes(c: Chunk, head: np.ndarray, klass: np.ndarray):
     number = np.repeat(np.arange(docs), np.diff(bounds))
     stream = np.full(len(h) + 3 * docs, END)
     spot = np.arange(len(h)) + 3 * number + 2
-    stream[spot] = np.where(place >= 0, klass[place], UNKNOWN) if len(head) else UNKNOWN
+    stream[spot] = np.where(place >= 0, number_of[place], UNKNOWN) if len(head) else UNKNOWN
     last = bounds[1:] + 3 * np.arange(docs) + 2
     token = np.sort(np.concatenate([spot, last]))
     return h, number, place, stream, token
@@ -94,31 +147,9 @@ def _training(c: Chunk) -> Chunk | None:
     return Chunk([int(c.ids[i]) for i in keep], [c.texts[i] for i in keep]) if keep else None
 
 
-def corpus_counts(docs: DataFrame, head: np.ndarray, klass: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all training documents: exact counts of the head words (the end last), and the class trigrams with their counts."""
-
-    def count(batches):
-        words, cells = np.zeros(len(head) + 1, np.int64), np.zeros(n**3, np.int64)
-        for c in filter(None, map(_training, chunks(batches))):
-            _, _, place, s, t = _classes(c, head, klass)
-            words += np.bincount(np.where(place < 0, len(head) + 1, place), minlength=len(head) + 2)[: len(head) + 1]
-            words[-1] += len(c.ids)
-            cells += np.bincount((s[t - 2] * n + s[t - 1]) * n + s[t], minlength=n**3)
-        for base, x in ((0, words), (len(words), cells)):
-            on = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(on + base), pa.array(x[on])], ["k", "c"])
-
-    got = docs.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas().sort_values("k")
-    k, c = got.k.to_numpy(), got.c.to_numpy()
-    words = np.zeros(len(head) + 1, np.int64)
-    words[k[k <= len(head)]] = c[k <= len(head)]
-    cell, c = k[k > len(head)] - len(words), c[k > len(head)]
-    return words, np.stack([cell // (n * n), cell // n % n, cell % n], 1), c
-
-
-def head_words(docs: DataFrame, size: int, flush: int = 1 << 20) -> np.ndarray:
-    """Hashes of the most frequent words of all training documents, most frequent first. A task sends a word once for every
-    flush distinct words it meets."""
+def head_words(docs: DataFrame, size: int, flush: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words of all training documents, most frequent first, and their counts. A task sends a word once for
+    every flush distinct words it meets."""
 
     def count(batches):
         k, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -137,36 +168,71 @@ def head_words(docs: DataFrame, size: int, flush: int = 1 << 20) -> np.ndarray:
             yield out()
 
     got = docs.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(size).toPandas()
-    return got.k.to_numpy(np.int64).view(np.uint64)
-
-
-def lm_scores(docs: DataFrame, classes: int = 64, head_size: int = 50_000) -> DataFrame:
+    return got.k.to_numpy(np.int64).view(np.uint64), got.c.to_numpy(np.int64)
+
+
+def trained(docs: DataFrame, head: np.ndarray, number_of: np.ndarray, counts: np.ndarray, rounds: tuple = ((8, 0.2), (1, 0.1)), batch: int = 4096, bytes_each: int = 16 << 20) -> LogBilinear:
+    """The model after one pass over all training documents for each of `rounds` (every how many-th batch, rate): tasks train copies on
+    their own part, and rows of the parameters are averaged, weighted by how often a part used them. Training thus follows the corpus,
+    and the driver sees the averages alone. A first round over every eighth batch brings the copies of the second near each other. A
+    part has bytes_each of the input at least, as each sends a row for every word it holds."""
+    model = LogBilinear(len(counts)).unigram(counts).start()
+    size, columns = input_bytes(docs), [f"x{j}" for j in range(model.dim + 1)]
+    if size < 1 << 60:
+        docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // bytes_each + 1))
+    for every, rate in rounds:
+        begin = model.p
+
+        def run(batches, every=every, rate=rate, begin=begin):
+            own = LogBilinear(len(counts)).unigram(counts).use(begin.copy())
+            state, seen, rng, turn = np.full(own.p.shape, 1e-6), np.zeros(len(own.p)), np.random.default_rng(7), 0
+            for c in filter(None, map(_training, chunks(batches))):
+                *_, s, t = _stream(c, head, number_of)
+                t = rng.permutation(t)
+                for i in range(0, len(t), batch):
+                    if turn % every == 0:
+                        x = t[i : i + batch]
+                        own.step(np.stack([s[x - 2], s[x - 1]], 1), s[x], state, seen, rng, rate)
+                    turn += 1
+            on = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(seen[on]), *(pa.array(own.p[on, j] * seen[on]) for j in range(own.dim + 1))], ["k", "weight", *columns])
+
+        parts = docs.mapInArrow(run, "k long, weight double, " + ", ".join(f"{c} double" for c in columns))
+        mean = parts.groupBy("k").agg(*(((F.sum(c)) / F.sum("weight")).alias(c) for c in columns)).toPandas()
+        p = begin.copy()
+        p[mean.k.to_numpy(np.int64)] = mean[columns].to_numpy(np.float32)
+        model.use(p)
+    return model
+
+
+def lm_scores(docs: DataFrame, vocabulary: int = 9216, head_size: int = 50_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document; scores are log10 probabilities.
 
     Tokens are A-Z-lowered words and one end per text, also of null, empty and blank texts. Documents with
     crc32(doc_id) mod 7 = 2 are scored only; a null doc_id trains. Rows that share a doc_id are scored as one document.
 
-    The model predicts one of `classes` classes, the most frequent words, the end, or any other word, whose spelling
-    then comes from add-one counts among those. Counts of the head (head_size words, a fixed bound) reach every task; other
-    words meet their counts in an exchange by hash, which sends back sums per document.
+    The model has `vocabulary` entries: the most frequent words, the end, and any other word, whose spelling then comes from
+    add-one counts among those. Counts of the head (head_size words, a fixed bound) reach every task; other words meet
+    their counts in an exchange by hash, which sends back sums per document.
     """
     docs = keyed(docs)
     n_b = bucket_count(docs)
-    ranked = head_words(docs, head_size)
+    ranked, ranked_counts = head_words(docs, head_size)
+    ends = docs.where((F.col("doc_id") == NO_ID) | ~held_out("doc_id", 7, 2)).count()
     order = np.argsort(ranked)
-    head, klass = ranked[order], np.where(order < classes - 2, order + 2, UNKNOWN)
-    counts, cells, cell_counts = corpus_counts(docs, head, klass, classes)
-    model = LogBilinear(classes).fit(cells, cell_counts)
-    log_count, own_class = np.log10(counts + 1.0), klass != UNKNOWN
+    own = min(len(ranked), vocabulary - 2)
+    head, number_of = ranked[order], np.where(order < own, order + 2, UNKNOWN)
+    counts = np.append(ranked_counts[order], ends)
+    model = trained(docs, head, number_of, np.concatenate([[ranked_counts[own:].sum()], [ends], ranked_counts[:own]]))
+    log_count, modelled = np.log10(counts + 1.0), number_of != UNKNOWN
 
     def send(batches):
-        table = model.table()
         for c in chunks(batches, 8 << 20):
-            h, number, place, s, t = _classes(c, head, klass)
+            h, number, place, s, t = _stream(c, head, number_of)
             docs_n = len(c.ids)
-            lbl = table[s[t - 2] * classes + s[t - 1], s[t]]
+            lbl = model.log10(np.stack([s[t - 2], s[t - 1]], 1), s[t])
             of = np.concatenate([number, np.arange(docs_n)])[np.argsort(np.concatenate([np.flatnonzero(np.ones(len(number))) + 3 * number + 2, np.cumsum(np.bincount(number, minlength=docs_n)) + 3 * np.arange(docs_n) + 2]))]
-            known, spelled = place >= 0, (place >= 0) & ~own_class[np.maximum(place, 0)] if len(head) else np.zeros(len(h), bool)
+            known, spelled = place >= 0, (place >= 0) & ~modelled[np.maximum(place, 0)] if len(head) else np.zeros(len(h), bool)
             lc = log_count[np.maximum(place, 0)] * known
             total = lambda w, at=number: np.bincount(at, w, docs_n)  # noqa: E731,B023
             end_known = float(counts[-1] > 0)
@@ -233,7 +299,7 @@ def lm_scores(docs: DataFrame, classes: int = 64, head_size: int = 50_000) -> Da
     tail = sums.where("whole").agg(F.sum(F.col("x")[0]), F.sum(F.col("x")[1])).first()
     n = int(counts.sum()) + int(tail[0] or 0)
     v = int(np.count_nonzero(counts)) + int(tail[1] or 0)
-    named = np.append(own_class, True)
+    named = np.append(modelled, True)
     n_u, v_u = n - int(counts[named].sum()), v - int(np.count_nonzero(counts[named]))
     x = F.col("x")
     return sums.where("not whole").select(

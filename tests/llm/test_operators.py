@@ -158,7 +158,38 @@ def test_lm_base_and_normalization(docs):
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))
-    assert np.allclose((10 ** lm.LogBilinear(8).table()).sum(1), 1)
+
+
+@pytest.mark.parametrize("words", [2, 8, 9, 50])
+def test_lm_probabilities_of_all_words_sum_to_one(words):
+    rng = np.random.default_rng(words)
+    model = lm.LogBilinear(words).unigram(rng.integers(0, 9, words)).start()
+    model.use((model.p + rng.normal(0, 0.5, model.p.shape)).astype(np.float32))
+    h = rng.integers(0, words, (5, 2))
+    p = 10 ** model.log10(np.repeat(h, words, 0), np.tile(np.arange(words), 5), block=7)
+    assert np.allclose(p.reshape(5, words).sum(1), 1, atol=1e-5)
+
+
+def test_lm_untrained_is_the_unigram():
+    model = lm.LogBilinear(30).unigram(np.arange(30)).start()
+    model.p[:, :-1] = 0
+    w = np.arange(30)
+    assert np.allclose(10 ** model.log10(np.zeros((30, 2), int), w), (w + 0.5) / (w + 0.5).sum(), atol=1e-6)
+
+
+def test_lm_learns_what_follows(spark):
+    """Words in a fixed cycle: the base knows how often each occurs, the model which one comes next, also in held-out documents."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[(i + j) % 40] for j in range(400))) for i in range(400)], "doc_id long, text string").repartition(3)
+    got = lm.lm_scores(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)", "sum(n_tokens)").first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.3
+
+
+def test_lm_without_training_documents(spark):
+    held = [i for i in range(50) if lm._held(i)]
+    got = lm.lm_scores(spark.createDataFrame([(i, "a b") for i in held] + [(held[0], None)], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and np.isfinite(r.score) for r in got)
+    assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_lm_ranks_words_over_all_training_documents(spark):
@@ -169,8 +200,8 @@ def test_lm_ranks_words_over_all_training_documents(spark):
     want = Counter(w for t in trained for w in t.split())
     hashes = {w: int(lm.Chunk([0], [w.encode()]).words(lower=True)[0][0]) for w in [*want, "only", "held"]}
     for flush in (1, 1 << 20):
-        got = lm.head_words(docs, 100, flush).tolist()
-        assert set(got) == {hashes[w] for w in want} and got[:3] == [hashes[w] for w in ("late", "often", "null")]
+        got, counts = (x.tolist() for x in lm.head_words(docs, 100, flush))
+        assert dict(zip(got, counts, strict=True)) == {hashes[w]: n for w, n in want.items()} and got[:3] == [hashes[w] for w in ("late", "often", "null")]
 
 
 def test_leaks(spark, docs, empty):
