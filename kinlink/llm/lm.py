@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.seqhash import BLOB, NO_ID, Chunk, bucket_count, chunks, keyed, mix, unkeyed
 from kinlink.llm.toxicity import held_out
-from kinlink.plans.scratch import input_bytes, materialize
+from kinlink.plans.scratch import drop, input_bytes, materialize
 
 UNKNOWN, END = 0, 1
 
@@ -48,12 +49,11 @@ class LogBilinear:
         return self
 
     def unigram(self, counts: np.ndarray) -> "LogBilinear":
-        """Noise follows the corpus counts of the words; biases start there, so an untrained model is the unigram."""
+        """The corpus counts of the words: noise classes follow them, and biases start there, so an untrained model is the unigram."""
         u = counts + 0.5
-        self.u, self.edge = u / u.sum(), np.cumsum(u / u.sum())
-        self.uc = np.bincount(self.klass, self.u)
-        self.low, self.high = np.concatenate([[0], self.edge])[self.first[:-1]], self.edge[self.first[1:] - 1]
-        self.log_u, self.log_uc = np.log(self.u / self.uc[self.klass]).astype(np.float32), np.log(self.uc).astype(np.float32)
+        u /= u.sum()
+        self.uc = np.bincount(self.klass, u)
+        self.log_u, self.log_uc = np.log(u / self.uc[self.klass]).astype(np.float32), np.log(self.uc).astype(np.float32)
         return self
 
     def start(self) -> "LogBilinear":
@@ -63,9 +63,9 @@ class LogBilinear:
     def hidden(self, h: np.ndarray) -> np.ndarray:
         return sum(self.r[h[:, i]] @ self.c[i] for i in range(self.context))
 
-    def step(self, h: np.ndarray, w: np.ndarray, state: np.ndarray, seen: np.ndarray, rng: np.random.Generator, rate: float, noise: int = 4, class_noise: int = 32) -> None:
+    def step(self, h: np.ndarray, w: np.ndarray, state: np.ndarray, seen: np.ndarray, rng: np.random.Generator, rate: float, noise: int = 3, class_noise: int = 32) -> None:
         """One Adagrad step on contexts h and words w. The true class is told from classes of the unigram, which the batch shares, the true
-        word from words of its class. seen counts the rows that contexts and true words use."""
+        word from any words of its class, which are about as frequent. seen counts the rows that contexts and true words use."""
         n, d, m = self.n, self.dim, len(w)
         k, z = self.klass[w], self.hidden(h)
         other = np.minimum(np.searchsorted(np.cumsum(self.uc), rng.random(class_noise)), self.classes - 1)
@@ -76,22 +76,19 @@ class LogBilinear:
         own = (1 - told(np.einsum("bd,bd->b", z, self.qc[k]) + self.bc[k], self.log_uc[k] + np.float32(np.log(class_noise)))) / m
         rest = -told(z @ self.qc[other].T + self.bc[other], self.log_uc[other] + np.float32(np.log(class_noise))) / m
         dz = own[:, None] * self.qc[k] + rest @ self.qc[other]
-        words = np.concatenate([w[:, None], np.minimum(np.searchsorted(self.edge, self.low[k, None] + rng.random((m, noise)) * (self.high - self.low)[k, None]), n - 1)], 1)
-        # a draw at the very edge may fall into the next class
-        words = np.clip(words, self.first[k, None], self.first[k + 1, None] - 1)
+        size = self.first[k + 1] - self.first[k]
+        words = np.concatenate([w[:, None], self.first[k, None] + (rng.random((m, noise)) * size[:, None]).astype(np.int64)], 1)
         q = self.q[words]
-        dw = -told(np.einsum("bd,bkd->bk", z, q) + self.b[words], self.log_u[words] + np.float32(np.log(noise))) / m
+        dw = -told(np.einsum("bd,bkd->bk", z, q) + self.b[words], np.log(noise / size).astype(np.float32)[:, None]) / m
         dw[:, 0] += 1 / m
         dz += np.einsum("bk,bkd->bd", dw, q)
-        grad = np.zeros((len(self.p), d + 1))
+        grad = np.zeros((len(self.p), d + 1), np.float32)
         flat, at = words.ravel(), 2 * n + self.classes
-        spread = (dw[:, :, None] * z[:, None, :]).reshape(-1, d)
-        back = [dz @ c.T for c in self.c]
-        mine = own[:, None] * z
-        for j in range(d):
-            grad[n : 2 * n, j] = np.bincount(flat, spread[:, j], n)
-            grad[2 * n : at, j] = np.bincount(k, mine[:, j], self.classes)
-            grad[:n, j] = np.bincount(h.T.ravel(), np.concatenate([x[:, j] for x in back]), n)
+        back, context = np.concatenate([c @ dz.T for c in self.c], 1), h.T.ravel()
+        for j, x in enumerate(np.ascontiguousarray(z.T)):
+            grad[n : 2 * n, j] = np.bincount(flat, (dw * x[:, None]).ravel(), n)
+            grad[2 * n : at, j] = np.bincount(k, own * x, self.classes)
+            grad[:n, j] = np.bincount(context, back[j], n)
         grad[n : 2 * n, d] = np.bincount(flat, dw.ravel(), n)
         grad[2 * n : at, d] = np.bincount(k, own, self.classes)
         np.add.at(grad[2 * n : at, :d], other, rest.T @ z)
@@ -99,7 +96,9 @@ class LogBilinear:
         for i in range(self.context):
             grad[at + i * d :][:d, :d] = self.r[h[:, i]].T @ dz
         state += grad * grad
-        self.p += (rate * grad / np.sqrt(state)).astype(np.float32)
+        grad *= np.float32(rate)
+        grad /= np.sqrt(state)
+        self.p += grad
         seen[:n] += np.bincount(h.ravel(), minlength=n)
         seen[n : 2 * n] += np.bincount(w, minlength=n)
         seen[2 * n : at] += np.bincount(k, minlength=self.classes)
@@ -110,8 +109,10 @@ class LogBilinear:
         out = np.zeros(len(w))
 
         def normal(s, at):
-            top = s.max(1)
-            return s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(1))
+            s -= s.max(1)[:, None]
+            got = s[np.arange(len(s)), at]
+            np.exp(s, out=s)
+            return got - np.log(s.sum(1))
 
         order = np.argsort(self.klass[w], kind="stable")
         for i in range(0, len(w), block):
@@ -152,29 +153,37 @@ def head_words(docs: DataFrame, size: int, flush: int = 1 << 20) -> tuple[np.nda
     every flush distinct words it meets."""
 
     def count(batches):
-        k, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, new = [], 0
 
-        def out():
+        def merged():
+            k, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return k, np.bincount(inverse, np.concatenate([n for _, n in held]), len(k)).astype(np.int64)
+
+        def out(k, n):
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "c"])
 
         for c in filter(None, map(_training, chunks(batches))):
-            own, m = np.unique(c.words(lower=True)[0], return_counts=True)
-            k, inverse = np.unique(np.concatenate([k, own]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n, m]), len(k)).astype(np.int64)
-            if len(k) >= flush:
-                yield out()
-                k, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(k):
-            yield out()
-
-    got = docs.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(size).toPandas()
+            held.append(np.unique(c.words(lower=True)[0], return_counts=True))
+            new += len(held[-1][0])
+            # merged when the new ones are as many as the first, merged entry
+            if new >= min(flush, max(1 << 18, len(held[0][0]))):
+                held, new = [merged()], 0
+                if len(held[0][0]) >= flush:
+                    yield out(*held.pop())
+        if held:
+            yield out(*merged())
+
+    # written first: collected at once, each task would send its own most frequent ones to the driver
+    top = materialize(docs.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(size), "head")
+    got = top.toPandas().sort_values(["c", "k"], ascending=[False, True])
+    drop(top)
     return got.k.to_numpy(np.int64).view(np.uint64), got.c.to_numpy(np.int64)
 
 
 def trained(docs: DataFrame, head: np.ndarray, number_of: np.ndarray, counts: np.ndarray, rounds: tuple = ((8, 0.2), (1, 0.1)), batch: int = 4096, bytes_each: int = 16 << 20) -> LogBilinear:
-    """The model after one pass over all training documents for each of `rounds` (every how many-th batch, rate): tasks train copies on
+    """The model after one pass over all training documents for each of `rounds` (every how many-th chunk, rate): tasks train copies on
     their own part, and rows of the parameters are averaged, weighted by how often a part used them. Training thus follows the corpus,
-    and the driver sees the averages alone. A first round over every eighth batch brings the copies of the second near each other. A
+    and the driver sees the averages alone. A first round over every eighth chunk brings the copies of the second near each other. A
     part has bytes_each of the input at least, as each sends a row for every word it holds."""
     model = LogBilinear(len(counts)).unigram(counts).start()
     size, columns = input_bytes(docs), [f"x{j}" for j in range(model.dim + 1)]
@@ -185,15 +194,13 @@ def trained(docs: DataFrame, head: np.ndarray, number_of: np.ndarray, counts: np
 
         def run(batches, every=every, rate=rate, begin=begin):
             own = LogBilinear(len(counts)).unigram(counts).use(begin.copy())
-            state, seen, rng, turn = np.full(own.p.shape, 1e-6), np.zeros(len(own.p)), np.random.default_rng(7), 0
-            for c in filter(None, map(_training, chunks(batches))):
+            state, seen, rng = np.full(own.p.shape, 1e-6, np.float32), np.zeros(len(own.p)), np.random.default_rng(7)
+            for c in filter(None, map(_training, islice(chunks(batches), 0, None, every))):
                 *_, s, t = _stream(c, head, number_of)
                 t = rng.permutation(t)
                 for i in range(0, len(t), batch):
-                    if turn % every == 0:
-                        x = t[i : i + batch]
-                        own.step(np.stack([s[x - 2], s[x - 1]], 1), s[x], state, seen, rng, rate)
-                    turn += 1
+                    x = t[i : i + batch]
+                    own.step(np.stack([s[x - 2], s[x - 1]], 1), s[x], state, seen, rng, rate)
             on = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(seen[on]), *(pa.array(own.p[on, j] * seen[on]) for j in range(own.dim + 1))], ["k", "weight", *columns])
 
@@ -227,7 +234,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = 9216, head_size: int = 50_000)
     log_count, modelled = np.log10(counts + 1.0), number_of != UNKNOWN
 
     def send(batches):
-        for c in chunks(batches, 8 << 20):
+        for c in chunks(batches, 2 << 20):
             h, number, place, s, t = _stream(c, head, number_of)
             docs_n = len(c.ids)
             lbl = model.log10(np.stack([s[t - 2], s[t - 1]], 1), s[t])
