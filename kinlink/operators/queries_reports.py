@@ -195,9 +195,10 @@ def an22_overcommit(spark, d):
     return s.groupBy(F.least(F.floor(F.col("m") / 5), F.lit(9)).cast("int").alias("band")).agg(F.count("*").alias("targets"), F.sum("n").alias("claims"))
 
 
-@query(O + " select country, closed, floor(p*5)::int bin, count(*) n, round(avg(p),6) mean_p, round(avg(y),6) rate from x group by 1,2,3")
+@query(O + " select country, closed, floor(p*5)::int bin, count(*) n, sum(cast(round(p*1000) as bigint))::double/(count(*)*1000.0::double) mean_p, avg(y) rate from x group by 1,2,3")
 def an25_segment_calibration(spark, d):
-    return ordered_lists(spark, d).groupBy("country", "closed", F.floor(F.col("p") * 5).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("rate"))
+    """Mean p and rate by segment and fifth. Values are thousandths, summed as whole numbers: rounded means of doubles fell on ties."""
+    return ordered_lists(spark, d).groupBy("country", "closed", F.floor(F.col("p") * 5).cast("int").alias("bin")).agg(F.count("*").alias("n"), (F.sum(F.round(F.col("p") * 1000).cast("long")) / (F.count("*") * 1000.0)).alias("mean_p"), F.avg("y").alias("rate"))
 
 
 @query(O + ", k as (select *, cume_dist() over(partition by country order by p) c from x), q as (select country, p, max(c) filter (where true) c from k group by 1,2), w as (select p, max(c) c from (select p, cume_dist() over(order by p) c from x) group by 1) select q.country, round(max(abs(q.c-w.c)),6) ks from q join w using(p) group by 1")
