@@ -61,8 +61,9 @@ def overcommitted(df: DataFrame) -> DataFrame:
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """Probabilities of a target's references are scaled down to a sum of 1 where they exceed it."""
-    return df.withColumn("p", F.col("p") / F.greatest(F.lit(1.0), F.sum("p").over(by_tgt())))
+    """Probabilities of a target's references are scaled down to a sum of 1 where they exceed it. Decimals are summed, as a sum of doubles
+    depends on the order of rows and then so does what lies on a threshold."""
+    return df.withColumn("p", F.col("p") / F.greatest(F.lit(1.0), F.sum(F.col("p").cast("decimal(28,18)")).over(by_tgt()).cast("double")))
 
 
 def prune_overcommitted(df: DataFrame, most: float = 1.2, share: float = 0.77) -> DataFrame:

@@ -57,3 +57,13 @@ def test_components_span_all_gold_links(spark, tmp_path):
     for r in got.values():
         h = int(hashlib.sha256(str(r.component).encode()).hexdigest()[:8], 16) % 100
         assert (r.bucket, r.part) == (h, "train" if h < 70 else "dev" if h < 85 else "holdout")
+
+
+def test_normalized_ignores_the_order_of_rows(spark):
+    """As doubles, 0.1 + 0.2 + 0.3 + 0.6 gives two sums, 1.2 and 1.2000000000000002; a share on the threshold was in or out by row order."""
+    p = [0.1, 0.2, 0.3, 0.6]
+    out = set()
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [0, 3, 1, 2], [2, 3, 0, 1]):
+        df = spark.createDataFrame([(i, 7, p[i]) for i in order], "ref long, tgt long, p double").coalesce(1)
+        out.add(tuple(r.p for r in D.normalized(df).orderBy("ref").collect()))
+    assert out == {tuple(x / 1.2 for x in p)}
