@@ -26,7 +26,7 @@ def rows(data):
     return sorted(tuple("%.6g" % v if isinstance(v, float) else str(v) for v in r) for r in data)
 
 
-NAMES = ["jn09_tfidf_topn", "jn13_reverse"]
+NAMES = ["ix06_top_terms", "jn09_tfidf_topn", "jn13_reverse"]
 
 
 @pytest.mark.parametrize("name", NAMES)
