@@ -1,6 +1,7 @@
 """Queries over part against their SQL, on a table of odd rows and on one with more copies than any cap."""
 
 import os
+import threading
 
 import duckdb
 import pytest
@@ -26,7 +27,7 @@ def rows(data):
     return sorted(tuple("%.6g" % v if isinstance(v, float) else str(v) for v in r) for r in data)
 
 
-NAMES = ["ix06_top_terms", "jn09_tfidf_topn", "jn13_reverse"]
+NAMES = ["ix06_top_terms", "jn09_tfidf_topn", "jn10_bm25_topk", "jn13_reverse"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -36,3 +37,23 @@ def test_same_as_sql(spark, tables, name):
     cols = sorted(df.columns)
     got, want = rows(df.select(cols).collect()), rows(c.sql(f"select {', '.join(cols)} from ({registry.oracle_sql()[name]})").fetchall())
     assert len(got) == len(want) and got == want
+
+
+@pytest.fixture(scope="module")
+def large(tmp_path_factory):
+    """60,000 records with eight names: 400 million pairs."""
+    d = str(tmp_path_factory.mktemp("large"))
+    names = "select i p_partkey, 'bolt ' || (['a1', 'b2', 'c3', 'd4', 'e5', 'f6', 'g7', 'h8'])[(hash(i) % 8 + 1)::int] p_name, 'Brand#' || i % 25 p_brand, 'A' p_type, i % 50 p_size from range(60000) r(i)"
+    duckdb.connect().sql(f"copy (select {COLUMNS} from ({names})) to '{os.path.join(d, 'part.parquet')}' (format parquet)")
+    return d
+
+
+@pytest.mark.parametrize("name,n", [("jn10_bm25_topk", 100_000)])
+def test_large_classes(spark, large, name, n):
+    """What does not return its pairs must not make them; one that does is stopped."""
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        assert registry.queries()[name](spark, large).count() == n
+    finally:
+        timer.cancel()
