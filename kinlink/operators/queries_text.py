@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import keys as K
 from kinlink.functions import text as T
-from kinlink.operators.queries_block import P, R, TOK, pairs, records
+from kinlink.operators import blocking as B
+from kinlink.operators.queries_block import P, R, TOK, expanded, keyed, records, tasks_for
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,4 +166,8 @@ def tx15_squash(spark, d):
 
 @query(P + ", n as (select ref, tgt, regexp_extract_all(a1,'[0-9]+') x, regexp_extract_all(a2,'[0-9]+') y from pr), e as (select ref, tgt, unnest(x) u, y from n), f as (select ref, tgt, u, unnest(y) v from e) select ref, tgt, max((starts_with(u,v) or starts_with(v,u))::int)::double s from f group by 1,2")
 def sm08_number_prefix(spark, d):
-    return pairs(spark, d).select("ref", "tgt", K.number_prefix(T.numbers(F.col("a1")), T.numbers(F.col("a2"))).alias("s"))
+    """Pairs of records that have numbers; rows of one id count as one record."""
+    side = lambda x, a, v: x.groupBy("country", "first", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.numbers(F.col(a)))))).alias(v)).where(F.size(v) > 0)
+    a, b = keyed(spark, d, "name", "address")
+    s = B.class_pairs(side(a, "a1", "x"), side(b, "a2", "y"), ["country", "first"], tasks_for(spark, d))
+    return expanded(s.select("refs", "tgts", K.number_prefix(F.col("x"), F.col("y")).alias("s")), "s")

@@ -27,7 +27,7 @@ def rows(data):
     return sorted(tuple("%.6g" % v if isinstance(v, float) else str(v) for v in r) for r in data)
 
 
-NAMES = ["ix06_top_terms", "jn09_tfidf_topn", "jn10_bm25_topk", "jn13_reverse"]
+NAMES = "ix06_top_terms jn09_tfidf_topn jn10_bm25_topk jn13_reverse an47_number_difference".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -48,7 +48,7 @@ def large(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name,n", [("jn10_bm25_topk", 100_000)])
+@pytest.mark.parametrize("name,n", [("jn10_bm25_topk", 100_000), ("an46_token_lift", 8), ("sm04_partial", 64)])
 def test_large_classes(spark, large, name, n):
     """What does not return its pairs must not make them; one that does is stopped."""
     timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
