@@ -48,7 +48,7 @@ def large(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name,n", [("jn10_bm25_topk", 100_000), ("an46_token_lift", 8), ("sm01_ratio", 64), ("sm02_token_sort", 64), ("sm04_partial", 64)])
+@pytest.mark.parametrize("name,n", [("jn10_bm25_topk", 100_000), ("an46_token_lift", 8), ("sm01_ratio", 64), ("sm02_token_sort", 64), ("sm03_token_set", 64), ("sm04_partial", 64)])
 def test_large_classes(spark, large, name, n):
     """What does not return its pairs must not make them; one that does is stopped."""
     timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
