@@ -27,7 +27,7 @@ def rows(data):
     return sorted(tuple("%.6g" % v if isinstance(v, float) else str(v) for v in r) for r in data)
 
 
-NAMES = "ix06_top_terms jn09_tfidf_topn jn10_bm25_topk jn13_reverse an47_number_difference rl13_swap_classes an46_token_lift sm12_name_relation sm06_jaccard sm08_number_prefix sm13_shift sm17_miss_reason sm07_num_jaccard sm05_jaro_winkler sm09_exact sm10_len_ratio".split()
+NAMES = "ix06_top_terms jn09_tfidf_topn jn10_bm25_topk jn13_reverse an47_number_difference rl13_swap_classes an46_token_lift sm12_name_relation sm06_jaccard sm08_number_prefix sm13_shift sm17_miss_reason sm07_num_jaccard sm05_jaro_winkler sm09_exact sm10_len_ratio jn31_conjunctive".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
