@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.seqhash import _LOWER, CHUNK, Chunk, chunks, keyed, member, unkeyed
+from kinlink.llm.worker import lean
 
 _BREAK = np.ones(256, bool)
 _BREAK[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = False
@@ -254,6 +255,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: floa
 def _clean(index: Index):
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
+        lean()
         texts = [x.encode() for x in text.fillna("")]
         bad, low = np.zeros(len(texts), bool), 0
         # a batch may hold very many bytes: some at a time

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.seqhash import Chunk, bucket_count, mix, roll, shared_keys, unblob
+from kinlink.llm.worker import lean
 from kinlink.operators.graph import connected_components
 from kinlink.plans.scratch import drop, materialize, release
 
@@ -169,6 +170,7 @@ def _search(percent: int) -> Callable:
     """Spanning links of one cell: of each group in it (column cc) by itself. A set may come twice."""
 
     def run(table):
+        lean()
         src, dst = [], []
         order = np.argsort(table.column("cc").to_numpy(), kind="stable")
         cc, ids = table.column("cc").to_numpy()[order], table.column("doc_id").to_numpy()[order]
@@ -232,6 +234,7 @@ def ordered(sets: DataFrame, percent: int, pack_bytes: int = 1 << 20, spread: in
     packs = spread + total // pack_bytes
 
     def pack(key, table):
+        lean()
         keys = [x.as_buffer().to_pybytes() for x in table.column("keys")]
         ids, n = table.column("doc_id").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64)
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.stack([ids, n, [len(x) // 8 for x in keys]]).astype(np.int64).tobytes()]), pa.array([b"".join(keys)])], names=["doc_id", "meta", "text"])
@@ -245,6 +248,7 @@ def ordered(sets: DataFrame, percent: int, pack_bytes: int = 1 << 20, spread: in
     counted = shared_keys(packed.select("doc_id", "text"), extract, earlier=False, buckets=16 + total // (8 << 20), counted=True).select("doc_id", "keys")
 
     def unpack(batches):
+        lean()
         for b in batches:
             ids, sizes, out = [], [], []
             for meta, text, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -313,6 +317,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, shingle
     release(reps)
 
     def prefixes(batches):
+        lean()
         for b in batches:
             ids, heads = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc, n, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):

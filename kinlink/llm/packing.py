@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.seqhash import chunks, keyed, unkeyed
+from kinlink.llm.worker import kept, lean
 from kinlink.plans.scratch import drop, materialize
 
 #: Letters and then marks: the tokenizer breaks between them, and marks but for the apostrophe stay together.
@@ -69,14 +70,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_words: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """One tokenizer and one cache for all tasks that a worker runs."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    """One tokenizer and one cache for all tasks that a worker runs in turn."""
+    return kept(("words", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
@@ -84,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
 
     def run(batches):
         words = word_ids(tokenizer)
-        for c in chunks(batches):
+        for c in chunks(batches, own=("words", tokenizer)):
             rows = []
             for doc, text in zip(c.ids.tolist(), c.texts, strict=True):
                 ids = words.encode(text.decode("utf-8", "replace")) + b"\0\0\0\0"
@@ -201,6 +197,7 @@ def pack(parts: DataFrame, size: int = 2048, shard_rows: int = 16_384, islands:
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def shard(key, table):
+        lean()
         table = table.select(cols).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         meta = [np.asarray(table.column(c).to_numpy(), np.int64) for c in cols]
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.stack(meta).tobytes()]), pa.array([meta[3].astype(np.int32).tobytes()])], names=["shard", "meta", "lengths"])
@@ -209,6 +206,7 @@ def pack(parts: DataFrame, size: int = 2048, shard_rows: int = 16_384, islands:
 
     def epoch(number: int):
         def run(batches):
+            lean()
             for b in batches:
                 rows = []
                 for s, i, lens, own, migrant in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -230,6 +228,7 @@ def pack(parts: DataFrame, size: int = 2048, shard_rows: int = 16_384, islands:
     best = last.groupBy("shard").agg(F.max_by("genome", F.struct("bins", "fill", -F.col("island"))).alias("genome"))
 
     def lay(batches):
+        lean()
         for b in batches:
             for s, meta, genome in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m, g = np.frombuffer(meta, np.int64).reshape(5, -1), np.frombuffer(genome, np.int32)

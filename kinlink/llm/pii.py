@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.gbt import Boosted, Isotonic, calibrated
 from kinlink.llm.seqhash import NO_ID, keyed, unkeyed
+from kinlink.llm.worker import lean
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -215,6 +216,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series) -> pd.Series:
+        lean()
         return text.map(lambda t: None if t is None else clean(t))
 
     return docs.withColumn("text", cleaned(docs["text"].cast("string")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.gbt import Boosted, Isotonic, calibrated
 from kinlink.llm.seqhash import NO_ID, chunks, keyed, unkeyed
+from kinlink.llm.worker import lean
 from kinlink.plans.scratch import materialize
 
 #: A seed list of insults, and second-person forms of four languages.
@@ -85,6 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, held: F.Column, rows: int = 20_000
     sample = labelled(docs, labels, "toxic", held, rows)
 
     def count(batches):
+        lean()
         for b in batches:
             total: dict[tuple[str, int], list[int]] = {}
             for doc, text, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -112,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, held: F.Column, rows: int = 20_000
     by_fold = [lexicon(k) for k in range(FOLDS)]
 
     def measure(batches):
+        lean()
         for b in batches:
             docs_, texts, ys = (c.to_pylist() for c in b.columns)
             x = [features(t or "", by_fold[d % FOLDS]) for d, t in zip(docs_, texts, strict=True)]
@@ -150,6 +153,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
 
     @F.pandas_udf("boolean")
     def rejected(text: pd.Series) -> pd.Series:
+        lean()
         return pd.Series(model.score(text.fillna("").tolist()) >= threshold)
 
     return docs.where(~rejected(docs["text"].cast("string")))
