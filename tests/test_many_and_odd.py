@@ -57,3 +57,11 @@ def test_large_classes(spark, large, name, n):
         assert registry.queries()[name](spark, large).count() == n
     finally:
         timer.cancel()
+
+
+@pytest.mark.parametrize("name", ["sm01_ratio", "sm02_token_sort", "sm03_token_set", "sm04_partial", "an46_token_lift"])
+def test_names_are_cleaned_after_they_are_counted(spark, large, name):
+    """No record's name is cleaned by itself: above each scan records are summed first."""
+    plan = registry.queries()[name](spark, large)._jdf.queryExecution().optimizedPlan().toString()
+    for part in plan.split("Relation ")[:-1]:
+        assert "regexp_replace" in part and "regexp_replace" not in part[part.rindex("Aggregate") :].partition("\n")[2]
