@@ -43,6 +43,7 @@ class LogBilinear:
     def use(self, p: np.ndarray) -> "LogBilinear":
         n, d = self.n, self.dim
         self.p = p
+        self.room = None
         self.r, self.q, self.b = p[:n, :d], p[n : 2 * n, :d], p[n : 2 * n, d]
         self.qc, self.bc = p[2 * n : 2 * n + self.classes, :d], p[2 * n : 2 * n + self.classes, d]
         self.c = [p[2 * n + self.classes + i * d :][:d, :d] for i in range(self.context)]
@@ -61,7 +62,8 @@ class LogBilinear:
         return self
 
     def hidden(self, h: np.ndarray) -> np.ndarray:
-        return sum(self.r[h[:, i]] @ self.c[i] for i in range(self.context))
+        # whole rows are taken, with the bias that contexts have no use for: rows of a narrower view are copied number by number
+        return sum(self.p.take(h[:, i], 0)[:, : self.dim] @ self.c[i] for i in range(self.context))
 
     def step(self, h: np.ndarray, w: np.ndarray, state: np.ndarray, seen: np.ndarray, rng: np.random.Generator, rate: float, noise: int = 3, class_noise: int = 32) -> None:
         """One Adagrad step on contexts h and words w. The true class is told from classes of the unigram, which the batch shares, the true
@@ -71,75 +73,116 @@ class LogBilinear:
         other = np.minimum(np.searchsorted(np.cumsum(self.uc), rng.random(class_noise)), self.classes - 1)
 
         def told(s, log_noise):
-            return 1 / (1 + np.exp(np.clip(log_noise - s, -30, 30)))
+            np.subtract(log_noise, s, out=s)
+            np.clip(s, -30, 30, out=s)
+            np.exp(s, out=s)
+            s += 1
+            return np.divide(1, s, out=s)
 
         own = (1 - told(np.einsum("bd,bd->b", z, self.qc[k]) + self.bc[k], self.log_uc[k] + np.float32(np.log(class_noise)))) / m
         rest = -told(z @ self.qc[other].T + self.bc[other], self.log_uc[other] + np.float32(np.log(class_noise))) / m
         dz = own[:, None] * self.qc[k] + rest @ self.qc[other]
         size = self.first[k + 1] - self.first[k]
         words = np.concatenate([w[:, None], self.first[k, None] + (rng.random((m, noise)) * size[:, None]).astype(np.int64)], 1)
-        q = self.q[words]
-        dw = -told(np.einsum("bd,bkd->bk", z, q) + self.b[words], np.log(noise / size).astype(np.float32)[:, None]) / m
+        q = self.p[n : 2 * n].take(words, 0)
+        dw = told(np.einsum("bd,bkd->bk", z, q[:, :, :d]) + q[:, :, d], np.log(noise / size).astype(np.float32)[:, None])
+        dw /= -m
         dw[:, 0] += 1 / m
-        dz += np.einsum("bk,bkd->bd", dw, q)
-        grad = np.zeros((len(self.p), d + 1), np.float32)
+        dz += np.einsum("bk,bkd->bd", dw, q[:, :, :d])
         flat, at = words.ravel(), 2 * n + self.classes
         back, context = np.concatenate([c @ dz.T for c in self.c], 1), h.T.ravel()
-        for j, x in enumerate(np.ascontiguousarray(z.T)):
+        # the gradient and the roots of its sums of squares; made anew at each step, their pages would be too
+        self.room = self.room or (np.empty_like(self.p), np.empty_like(self.p))
+        # the bias is a weight whose input is 1
+        one, (grad, root) = np.concatenate([z, np.ones((m, 1), np.float32)], 1), self.room
+        for j, x in enumerate(np.ascontiguousarray(one.T)):
             grad[n : 2 * n, j] = np.bincount(flat, (dw * x[:, None]).ravel(), n)
             grad[2 * n : at, j] = np.bincount(k, own * x, self.classes)
-            grad[:n, j] = np.bincount(context, back[j], n)
-        grad[n : 2 * n, d] = np.bincount(flat, dw.ravel(), n)
-        grad[2 * n : at, d] = np.bincount(k, own, self.classes)
-        np.add.at(grad[2 * n : at, :d], other, rest.T @ z)
-        np.add.at(grad[2 * n : at, d], other, rest.sum(0))
+            grad[:n, j] = np.bincount(context, back[j], n) if j < d else 0
+        np.add.at(grad[2 * n : at], other, rest.T @ one)
+        grad[at:, d] = 0
         for i in range(self.context):
-            grad[at + i * d :][:d, :d] = self.r[h[:, i]].T @ dz
-        state += grad * grad
+            grad[at + i * d :][:d, :d] = self.p.take(h[:, i], 0)[:, :d].T @ dz
+        np.multiply(grad, grad, out=root)
+        state += root
+        np.sqrt(state, out=root)
         grad *= np.float32(rate)
-        grad /= np.sqrt(state)
+        grad /= root
         self.p += grad
         seen[:n] += np.bincount(h.ravel(), minlength=n)
         seen[n : 2 * n] += np.bincount(w, minlength=n)
         seen[2 * n : at] += np.bincount(k, minlength=self.classes)
         seen[at:] += m
 
-    def log10(self, h: np.ndarray, w: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-        """log10 P(w | h), normalised: one matrix product over the classes, and one for the words of each class that occurs."""
+    def log10(self, h: np.ndarray, w: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+        """log10 P(w | h), normalised: a matrix product over the classes, and one for the words of each class that occurs. Products have
+        about `block` entries, so that they stay near the processor."""
         out = np.zeros(len(w))
 
-        def normal(s, at):
-            s -= s.max(1)[:, None]
-            got = s[np.arange(len(s)), at]
-            np.exp(s, out=s)
-            return got - np.log(s.sum(1))
-
-        order = np.argsort(self.klass[w], kind="stable")
-        for i in range(0, len(w), block):
-            o = order[i : i + block]
+        def normal(z, q, b, at):
+            got = []
+            for i in range(0, len(z), max(1, block // len(q))):
+                s = z[i : i + max(1, block // len(q))] @ q.T + b
+                s -= s.max(1)[:, None]
+                top = s[np.arange(len(s)), at[i : i + len(s)]]
+                np.exp(s, out=s)
+                got.append(top - np.log(s.sum(1)))
+            return np.concatenate(got)
+
+        order = np.argsort(self.klass[w].astype(np.min_scalar_type(self.classes)), kind="stable")
+        for i in range(0, len(w), 1 << 18):
+            o = order[i : i + (1 << 18)]
             z, k = self.hidden(h[o]), self.klass[w[o]]
-            out[o] = normal(z @ self.qc.T + self.bc, k)
+            got = normal(z, self.qc, self.bc, k).astype(float)
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(k)], strict=True):
                 x = slice(self.first[k[a]], self.first[k[a] + 1])
                 if x.stop - x.start > 1:
-                    out[o[a:b]] += normal(z[a:b] @ self.q[x].T + self.b[x], w[o[a:b]] - x.start)
+                    got[a:b] += normal(z[a:b], self.q[x], self.b[x], w[o[a:b]] - x.start)
+            out[o] = got
         return out / np.log(10)
 
 
-def _stream(c: Chunk, head: np.ndarray, number_of: np.ndarray):
+class Head:
+    """Where hashes lie among sorted, different ones. Those that begin with the same bits are few, so that a table by these bits leaves few
+    steps, where a binary search reads from all over the list."""
+
+    def __init__(self, head: np.ndarray):
+        self.head, self.bits = head, min(20, max(1, len(head)).bit_length() + 2)
+        self.begin = np.searchsorted(head >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.diff(self.begin).max()) if len(head) else 0
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those that are not there."""
+        out = np.full(len(h), -1)
+        if not len(self.head):
+            return out
+        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.begin[top].astype(np.int64), self.begin[top + 1]
+        on = np.arange(len(h))
+        for _ in range(self.steps):
+            here = at < end
+            on, at, end = on[here], at[here], end[here]
+            hit = self.head[at] == h[on]
+            out[on[hit]] = at[hit]
+            on, at, end = on[~hit], at[~hit] + 1, end[~hit]
+        return out
+
+
+def _stream(c: Chunk, head: Head, number_of: np.ndarray):
     """Word hashes, document of each word, place in head (-1: none), the words' numbers in the model with two ends before and one after
     each text, and where in these the tokens are."""
     h, _, _, bounds = c.words(lower=True)
-    at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-    place = np.where(head[at] == h, at, -1) if len(head) else np.full(len(h), -1)
+    place = head.place(h)
     docs = len(c.ids)
     number = np.repeat(np.arange(docs), np.diff(bounds))
     stream = np.full(len(h) + 3 * docs, END)
     spot = np.arange(len(h)) + 3 * number + 2
-    stream[spot] = np.where(place >= 0, number_of[place], UNKNOWN) if len(head) else UNKNOWN
-    last = bounds[1:] + 3 * np.arange(docs) + 2
-    token = np.sort(np.concatenate([spot, last]))
+    stream[spot] = np.where(place >= 0, number_of[place], UNKNOWN) if len(number_of) else UNKNOWN
+    begin = bounds[:-1] + 3 * np.arange(docs)
+    is_token = np.ones(len(stream), bool)
+    is_token[begin] = is_token[begin + 1] = False
+    token = np.flatnonzero(is_token)
     return h, number, place, stream, token
 
 
@@ -185,7 +228,7 @@ def trained(docs: DataFrame, head: np.ndarray, number_of: np.ndarray, counts: np
     their own part, and rows of the parameters are averaged, weighted by how often a part used them. Training thus follows the corpus,
     and the driver sees the averages alone. A first round over every eighth chunk brings the copies of the second near each other. A
     part has bytes_each of the input at least, as each sends a row for every word it holds."""
-    model = LogBilinear(len(counts)).unigram(counts).start()
+    model, head = LogBilinear(len(counts)).unigram(counts).start(), Head(head)
     size, columns = input_bytes(docs), [f"x{j}" for j in range(model.dim + 1)]
     if size < 1 << 60:
         docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // bytes_each + 1))
@@ -231,15 +274,16 @@ def lm_scores(docs: DataFrame, vocabulary: int = 9216, head_size: int = 50_000)
     head, number_of = ranked[order], np.where(order < own, order + 2, UNKNOWN)
     counts = np.append(ranked_counts[order], ends)
     model = trained(docs, head, number_of, np.concatenate([[ranked_counts[own:].sum()], [ends], ranked_counts[:own]]))
-    log_count, modelled = np.log10(counts + 1.0), number_of != UNKNOWN
+    log_count, modelled, head = np.log10(counts + 1.0), number_of != UNKNOWN, Head(head)
 
     def send(batches):
         for c in chunks(batches, 2 << 20):
             h, number, place, s, t = _stream(c, head, number_of)
             docs_n = len(c.ids)
             lbl = model.log10(np.stack([s[t - 2], s[t - 1]], 1), s[t])
-            of = np.concatenate([number, np.arange(docs_n)])[np.argsort(np.concatenate([np.flatnonzero(np.ones(len(number))) + 3 * number + 2, np.cumsum(np.bincount(number, minlength=docs_n)) + 3 * np.arange(docs_n) + 2]))]
-            known, spelled = place >= 0, (place >= 0) & ~modelled[np.maximum(place, 0)] if len(head) else np.zeros(len(h), bool)
+            # a document's tokens are its words and then its end
+            of = np.repeat(np.arange(docs_n), np.bincount(number, minlength=docs_n) + 1)
+            known, spelled = place >= 0, (place >= 0) & ~modelled[np.maximum(place, 0)] if len(modelled) else np.zeros(len(h), bool)
             lc = log_count[np.maximum(place, 0)] * known
             total = lambda w, at=number: np.bincount(at, w, docs_n)  # noqa: E731,B023
             end_known = float(counts[-1] > 0)

@@ -185,6 +185,32 @@ def test_lm_learns_what_follows(spark):
     assert got[0] / got[2] > got[1] / got[2] + 0.3
 
 
+def test_a_training_step_makes_no_matrix_of_parameters_anew():
+    import tracemalloc
+
+    rng, model = np.random.default_rng(3), lm.LogBilinear(20_000).unigram(np.arange(20_000)).start()
+    state, seen = np.full(model.p.shape, 1e-6, np.float32), np.zeros(len(model.p))
+    step = lambda: model.step(rng.integers(0, 20_000, (64, 2)), rng.integers(0, 20_000, 64), state, seen, rng, 0.1)
+    step()
+    tracemalloc.start()
+    try:
+        step()
+        assert tracemalloc.get_traced_memory()[1] < model.p.nbytes
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 1000])
+def test_places_in_the_head(size):
+    rng = np.random.default_rng(size)
+    # many that begin with the same bits, the least and the largest ones, and others
+    known = np.unique(np.concatenate([rng.integers(0, 2**64, size, np.uint64), np.arange(size, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(size, dtype=np.uint64)]))
+    asked = np.concatenate([known, known + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64)])
+    want = {int(k): i for i, k in enumerate(known)}
+    assert lm.Head(known).place(asked).tolist() == [want.get(int(h), -1) for h in asked]
+    assert lm.Head(known).place(known[:0]).tolist() == []
+
+
 def test_lm_without_training_documents(spark):
     held = [i for i in range(50) if lm._held(i)]
     got = lm.lm_scores(spark.createDataFrame([(i, "a b") for i in held] + [(held[0], None)], "doc_id long, text string")).collect()
