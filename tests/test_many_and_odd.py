@@ -65,3 +65,9 @@ def test_names_are_cleaned_after_they_are_counted(spark, large, name):
     plan = registry.queries()[name](spark, large)._jdf.queryExecution().optimizedPlan().toString()
     for part in plan.split("Relation ")[:-1]:
         assert "regexp_replace" in part and "regexp_replace" not in part[part.rindex("Aggregate") :].partition("\n")[2]
+
+
+def test_members_meet_the_best_by_a_dealt_join(spark, large):
+    """Members are not broadcast to the few tasks that hold the best of each class."""
+    plan = registry.queries()["jn10_bm25_topk"](spark, large)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in next(x for x in plan.splitlines() if "Join" in x)
